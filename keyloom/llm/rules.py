@@ -15,11 +15,15 @@ languages together; repeated rows count each; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded, map_slices, stored
+from .common import bounded, map_slices, stored, to_arrow
 
 #: Characters that the base rule counts.
 SYMBOLS = b"#*$%&|<>"
@@ -37,6 +41,7 @@ MAX_CLASS, PAIR_CLASS, PAIR_COMMON, SCATTER = 0.30, 0.125, 0.25, 16.0
 #: The fewest words of a document that is compared, and of a language's reference.
 MIN_WORDS, MIN_REFERENCE = 50, 10_000
 
+_HISTOGRAMS = ("classes", "common", "usual_classes", "usual_common")
 _SPACE = b" \t\n\r\x0b\x0c"
 _TAIL = bytes(range(0x80, 0xC0))
 _COMMON = {w.encode(): i for i, w in enumerate(sorted(set(COMMON.split())))}
@@ -111,19 +116,29 @@ def features(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), step, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>")
 
 
-def _distance(own: Column, usual: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of one length; 0 where either has no counts."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
-    n, m = total(own), total(usual)
+def distances(own: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """The Jensen-Shannon distance of each row of counts to the row of the other; 0 where either has no counts."""
+    n, m = (x.sum(axis=1, keepdims=True, dtype=np.float64) for x in (own, usual))
+    p, q = own / np.maximum(n, 1), usual / np.maximum(m, 1)
+    mid = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = sum(np.where(x > 0, x * np.log2(x / mid), 0.0).sum(axis=1) for x in (p, q)) / 2
+    return np.where((n > 0).ravel() & (m > 0).ravel(), np.sqrt(np.maximum(parts, 0)), 0.0)
+
+
+def _compared(joined: DataFrame) -> DataFrame:
+    """joined with the histograms replaced by class_distance and common_distance."""
+    kept = [c for c in joined.columns if c not in _HISTOGRAMS]
+    schema = StructType([*(joined.schema[c] for c in kept), *(StructField(f"{k}_distance", DoubleType()) for k in ("class", "common"))])
+    target = to_arrow(schema)
 
-    def part(x: Column, y: Column) -> Column:
-        p, q = x / n, y / m
-        mid = (p + q) / 2
-        half = lambda z: F.when(z > 0, z * F.log2(z / mid)).otherwise(0.0)
-        return half(p) + half(q)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = lambda name: batch.column(batch.schema.get_field_index(name)).flatten().to_numpy().reshape(len(batch), -1)
+            far = [pa.array(distances(table(a), table(b))) for a, b in (("classes", "usual_classes"), ("common", "usual_common"))] if len(batch) else [pa.array([], pa.float64())] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *far], schema=target)
 
-    parts = F.aggregate(F.zip_with(own, usual, part), F.lit(0.0), lambda s, x: s + x)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(parts / 2, F.lit(0.0)))).otherwise(0.0)
+    return joined.mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -139,7 +154,7 @@ def judged(docs: DataFrame) -> DataFrame:
     for k in ("classes", "common"):
         nothing = F.array_repeat(F.lit(0).cast("long"), CLASSES if k == "classes" else len(_COMMON))
         out = out.withColumn(f"usual_{k}", F.coalesce(f"usual_{k}", f"all_{k}", nothing))
-    out = out.withColumn("class_distance", _distance(F.col("classes"), F.col("usual_classes"))).withColumn("common_distance", _distance(F.col("common"), F.col("usual_common")))
+    out = _compared(out.select(*(c for c in found.columns), "usual_classes", "usual_common"))
     allowed = PAIR_COMMON + F.sqrt(SCATTER / F.greatest(F.col("n_words"), F.lit(1)))
     odd = (F.col("class_distance") > MAX_CLASS) | ((F.col("class_distance") > PAIR_CLASS) & (F.col("common_distance") > allowed))
     odd = (F.col("n_words") >= MIN_WORDS) & odd
