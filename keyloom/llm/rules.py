@@ -9,8 +9,9 @@ words grows for short documents, whose histograms scatter.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the whole text. Defined results: null or empty
 text has no words and fails the base rule; documents of a language with fewer
-than MIN_REFERENCE words in all, or without language, are compared with all
-languages together; repeated rows count each; extra columns are ignored.
+than MIN_REFERENCE words in all, or without language, are compared by characters
+alone, with all languages together; without any reference only the base rule
+holds; repeated rows count each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,11 +150,10 @@ def judged(docs: DataFrame) -> DataFrame:
     both = [sums("classes", CLASSES), sums("common", len(_COMMON)), F.sum("n_words").alias("held")]
     good = found.where(~failed)
     usual = stored(good.groupBy("lang").agg(*both), "references").where((F.col("held") >= MIN_REFERENCE) & (F.col("lang") != ""))
-    every = usual.agg(*(F.array(*(F.sum(F.col(f"usual_{k}")[i]) for i in range(n))).alias(f"all_{k}") for k, n in (("classes", CLASSES), ("common", len(_COMMON)))))
+    every = usual.agg(F.array(*(F.coalesce(F.sum(F.col("usual_classes")[i]), F.lit(0)) for i in range(CLASSES))).alias("all_classes"))
     out = found.join(bounded(usual, 10_000), "lang", "left").join(F.broadcast(every))
-    for k in ("classes", "common"):
-        nothing = F.array_repeat(F.lit(0).cast("long"), CLASSES if k == "classes" else len(_COMMON))
-        out = out.withColumn(f"usual_{k}", F.coalesce(f"usual_{k}", f"all_{k}", nothing))
+    out = out.withColumn("usual_classes", F.coalesce("usual_classes", "all_classes"))
+    out = out.withColumn("usual_common", F.coalesce("usual_common", F.array_repeat(F.lit(0).cast("long"), len(_COMMON))))
     out = _compared(out.select(*(c for c in found.columns), "usual_classes", "usual_common"))
     allowed = PAIR_COMMON + F.sqrt(SCATTER / F.greatest(F.col("n_words"), F.lit(1)))
     odd = (F.col("class_distance") > MAX_CLASS) | ((F.col("class_distance") > PAIR_CLASS) & (F.col("common_distance") > allowed))
