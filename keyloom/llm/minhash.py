@@ -147,6 +147,8 @@ def _across(shared: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
         rep, comp, query, asked = (t[k].to_numpy() for k in ("rep", "comp", "query", "as_query"))
         items = [x.values.to_numpy() for x in t["items"]]
         m = np.flatnonzero(~asked)
+        if not len(m):
+            return []
         size = np.fromiter((len(items[i]) for i in m), np.int64, len(m))
         flat, of = np.concatenate([items[i] for i in m]), np.repeat(np.arange(len(m)), size)
         order = np.argsort(flat, kind="stable")
