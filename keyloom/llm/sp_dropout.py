@@ -42,7 +42,7 @@ class Segmenter:
     def __init__(self, path: str, rate: float = 0.1, seed: int = 1):
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         size = library.get_piece_size()
-        self.rate, self.seed = np.uint64(min(rate, 1.0) * (2**64 - 1)), np.uint64(seed)
+        self.rate, self.seed = np.uint64(min(int(rate * 2**64), 2**64 - 1)), np.uint64(seed)
         self.salt = np.uint64(seed * int(M2) & (2**64 - 1))
         plain, self.bytes_of = {}, [b""] * size
         self.byte_id = np.zeros(256, np.int32)
