@@ -17,9 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Text handed to one vectorised step, in UTF-8 bytes; bounds a worker's memory whatever the batch size.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Entries a worker's memo tables may hold before they start anew.
-MEMO_MAX = 400_000
+MEMO_MAX = 200_000
 #: Rows of a decision table that may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -49,6 +49,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One memo for all operators that a worker runs.
+HASHES = WordHashes()
+
+
 def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of which each holds about `most` bytes, or one longer row."""
     begin = held = 0

@@ -23,14 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M2, WordHashes, bounded, map_slices, mix64, stored
+from .common import HASHES, M2, bounded, map_slices, mix64, stored
 
 WINDOW, GRAM = 8, 5
 #: Test-set text, in bytes, up to which its index is sent to every worker.
 INDEX_BYTES = 16_000_000
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_hashes = WordHashes()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,7 +65,7 @@ class Index:
         fp, self.short = [], {}
         at = 0
         for name, text in items:
-            h = _hashes.of(words(text))
+            h = HASHES.of(words(text))
             if 0 < len(h) < WINDOW:
                 self.short.setdefault(len(h), {}).setdefault(int(grams(h, len(h))[0]), []).append(name)
             elif len(h):
@@ -154,7 +153,7 @@ def _by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
     def step(rows: dict) -> dict:
         found = [words(x) for x in rows["text"]]
         ends = np.cumsum([len(x) for x in found])
-        h = _hashes.of([w for x in found for w in x])
+        h = HASHES.of([w for x in found for w in x])
         runs: dict[int, list] = {}
         for d, begin, end, item in index.value.hits(h, ends):
             runs.setdefault(d, []).append((begin, end, item))
@@ -186,7 +185,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
         def step(rows: dict) -> dict:
             out = {name: [], "t1": [], "h": []}
             for own, t1, text in zip(rows[name], rows["t1"], rows["text"], strict=True):
-                h = _hashes.of(words(text))
+                h = HASHES.of(words(text))
                 if name == "item" and len(h) < WINDOW:
                     found = grams(h, len(h))[:1] if len(h) else []
                 else:
@@ -212,7 +211,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     def extend(rows: dict) -> dict:
         out = {k: [] for k in ("doc_id", "t1", "t2", "item", "begin", "end")}
         for i, text in enumerate(rows["text"]):
-            h = _hashes.of(words(text))
+            h = HASHES.of(words(text))
             for _, begin, end, item in Index([(rows["item"][i], rows["item_text"][i])]).hits(h, np.array([len(h)])):
                 for k, v in (("doc_id", rows["doc_id"][i]), ("t1", rows["t1"][i]), ("t2", rows["t2"][i]), ("item", item), ("begin", begin), ("end", end)):
                     out[k].append(v)

@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, WordHashes, bounded, forget, map_slices, mix64, stored
+from .common import HASHES, M1, M2, bounded, forget, map_slices, mix64, stored
 
 PERMUTATIONS, BAND = 80, 5
 #: Members, and queries, that one comparison block holds.
 BLOCK = 256
 
-_hashes = WordHashes()
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -45,7 +44,7 @@ def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    h = _hashes.of(found)
+    h = HASHES.of(found)
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, np.uint64(n))
     for i in range(n):

@@ -21,13 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, map_slices, stored
+from .common import HASHES, bounded, map_slices, stored
 
 #: Labelled documents that the fit uses at most, hash buckets, and the fewest documents that a fitted feature occurs in.
 SAMPLE, BUCKETS, MIN_DOCS = 12_000, 1 << 18, 8
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_hashes = WordHashes()
 _UPPER, _SYMBOL, _PIPE = (bytes(set(range(256)) - set(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&<>!", b"|"))
 
 
@@ -49,7 +48,7 @@ def features(text: str | None) -> np.ndarray:
     ]
     kinds = set(found)
     stems = {b"\0" + w[:4] for w in kinds} | {b"\0" + w[:5] for w in kinds}
-    return np.unique(_hashes.of([*kinds, *stems, *style]) % np.uint64(BUCKETS)).astype(np.int32)
+    return np.unique(HASHES.of([*kinds, *stems, *style]) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 class Model:

@@ -31,7 +31,7 @@ from .token_counts import default_path
 from .token_files import _ODD, _ODD_INVERSE, Pieces, _powers, _runs
 
 #: Draws of a word, and segmentations that a worker remembers.
-DRAWS, MEMO = 4, 700_000
+DRAWS, MEMO = 4, 300_000
 _MARK, _LITERAL = 0x2581, 0x110000
 _NONE = np.int32(1 << 30)
 
