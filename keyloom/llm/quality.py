@@ -25,6 +25,8 @@ from .common import HASHES, bounded, map_slices, stored
 
 #: Labelled documents that the fit uses at most, hash buckets, and the fewest documents that a fitted feature occurs in.
 SAMPLE, BUCKETS, MIN_DOCS = 12_000, 1 << 18, 8
+#: P(grade >= 2) from which a document is kept; chosen on held-out labels so that few toxic documents pass.
+LEAST = 0.8
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _UPPER, _SYMBOL, _PIPE = (bytes(set(range(256)) - set(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&<>!", b"|"))
@@ -63,8 +65,22 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - f[:, None], -50, 50)))
 
 
+def evidence(flat: np.ndarray, of: np.ndarray, grades: np.ndarray, grades_n: int, names: int) -> np.ndarray:
+    """How well each feature tells grades apart: its largest log ratio, over the thresholds, of the rates above and below."""
+    best = np.full(names, 0.05)
+    for k in range(grades_n - 1):
+        above = grades > k
+        high = np.bincount(flat, above[of], minlength=names) + 1
+        low = np.bincount(flat, ~above[of], minlength=names) + 1
+        best = np.maximum(best, np.abs(np.log(high / (above.sum() + 2)) - np.log(low / ((~above).sum() + 2))))
+    return best
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = 3, l1: float = 3e-4, steps: int = 160, rate: float = 0.2) -> Model:
-    """Penalised maximum likelihood by Adam steps with soft thresholding; deterministic."""
+    """Penalised maximum likelihood by Adam steps with soft thresholding; deterministic.
+
+    A feature's steps are as long as its evidence, so that rare decisive words aren't held back by the penalty.
+    """
     seen = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= MIN_DOCS if rows else np.zeros(BUCKETS, bool)
     rows = [x[seen[x]] for x in rows]
     size = np.array([len(x) for x in rows])
@@ -72,6 +88,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = 3, l1: float
     names = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
     flat = np.searchsorted(names, flat).astype(np.int32)
     w, gap = np.zeros(len(names)), np.zeros(grades_n - 1)
+    told = evidence(flat, of, grades, grades_n, len(names))
     m, v, gm, gv = (np.zeros_like(x) for x in (w, w, gap, gap))
     share = np.cumsum([(grades == k).mean() for k in range(grades_n - 1)]).clip(1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
@@ -87,10 +104,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = 3, l1: float
         dw = np.bincount(flat, ((dh - dl) / len(rows))[of], minlength=len(names))
         dc = np.array([-(dh[grades == k].sum() - dl[grades == k + 1].sum()) / len(rows) for k in range(grades_n - 1)])
         dg = np.array([dc.sum(), *(dc[k:].sum() * np.exp(gap[k]) for k in range(1, grades_n - 1))])
-        for x, d, a, b in ((w, dw, m, v), (gap, dg, gm, gv)):
+        for x, d, a, b, pace in ((w, dw, m, v, rate * told), (gap, dg, gm, gv, rate)):
             a += 0.1 * (d - a)
             b += 0.01 * (d * d - b)
-            x -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+            x -= pace * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
         pull = rate * l1 / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w[:] = np.sign(w) * np.maximum(np.abs(w) - pull, 0)
     weights = np.zeros(BUCKETS, np.float32)
@@ -121,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(rows, grades) if len(rows) else None
 
 
-def scored(docs: DataFrame, model: Model | None, least: float = 0.65) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
     """doc_id, expected_grade, p_ge_1, p_ge_2, kept (p_ge_2 >= least) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -133,7 +150,7 @@ def scored(docs: DataFrame, model: Model | None, least: float = 0.65) -> DataFra
     return map_slices(docs.select("doc_id", "text"), step, "doc_id long, expected_grade double, p_ge_1 double, p_ge_2 double, kept boolean")
 
 
-def selected(docs: DataFrame, labels: DataFrame, least: float = 0.65) -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs that the classifier keeps."""
     gone = stored(scored(docs, train(docs, labels), least).where("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
     return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
