@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import map_slices
 
+#: A character of a value without quotes: white space ends it, and a separator that ends the text or stands before the next name.
+_BARE = r"(?:[^\s\"'<>,;&|]|[,;&|](?![\s\"'<>]|$|[A-Za-z_][\w.-]{0,40}[=:])|(?<=\w)[\"'](?=\w))"
 #: Rules in order of preference; the group `v` is the secret.
 RULES = {
     "private_key": r"(?P<v0>-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?)",
@@ -36,9 +38,9 @@ RULES = {
     "google_key": r"\b(?P<v4>AIza[0-9A-Za-z_-]{35})",
     "stripe_key": r"\b(?P<v5>[sr]k_(?:live|test)_[0-9a-zA-Z]{16,})",
     "jwt": r"\b(?P<v6>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)",
-    "assigned": r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?(?P<v7>[^\s\"'<>,;#*$%&|]{6,200})",
-    "url_password": r"://[^\s:/@\"']{1,64}:(?P<v8>[^\s:/@\"']{3,64})@",
-    "mixed": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,64}\d)(?P<v9>[A-Za-z0-9+/_-]{24,200}={0,2})(?![A-Za-z0-9+/_=.-])",
+    "assigned": r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?(?P<v7>(?<=\")(?:[^\"\\\n]|\\.){6,}+(?=\")|(?<=')(?:[^'\\\n]|\\.){6,}+(?=')|" + _BARE + r"{6,}+)",
+    "url_password": r"://[^\s:/@\"'<>]*+:(?!\d{1,5}[/?#])(?P<v8>(?:[^\s/\"<>]|/(?!/)){3,})@",
+    "mixed": r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+\d)(?P<v9>[A-Za-z0-9+/_-]{24,}+={0,2})(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])",
 }
 #: Words that a secret rarely consists of (fixed values).
 WORDS = "the and for with this that from not you are have true false null none value example sample test your here change changeme password passwd secret token key user name admin login default required optional string enter placeholder dummy none undefined file path home usr local lib src main index html http https www com org net version build commit release config data table image static assets public private"
@@ -47,9 +49,10 @@ _ALL = re.compile("|".join(RULES.values()))
 _NAMES = list(RULES)
 _WORDS = sorted(set(WORDS.split()), key=len, reverse=True)
 _COVER = re.compile("|".join(_WORDS))
+_PLAIN = re.compile(r"(?<![^\s(])[A-Za-z]?[a-z'’]{1,14}(?=[.,;:!?)]{0,3}(?:\s|$))")
 _SECRET_NEAR = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|login")
 _HARMLESS_NEAR = re.compile(r"commit|sha|md5|hash|checksum|digest|uuid|guid|rev|etag|version|build|file|path|image|id\b|http|href|src|example|placeholder")
-FEATURES = ["length", "entropy", "transition", "digits", "upper", "lower", "hex", "distinct", "covered", "letters_run", "path", "extension", "uuid", "masked", "near_secret", "near_harmless", "assigned", "rule"]
+FEATURES = ["length", "entropy", "transition", "digits", "upper", "lower", "hex", "distinct", "covered", "letters_run", "path", "extension", "uuid", "masked", "near_secret", "near_harmless", "assigned", "rule", "sentence"]
 
 
 @dataclass
@@ -61,10 +64,10 @@ class Finding:
     value: str
 
 
-def candidates(text: str | None) -> list[Finding]:
-    """The candidates of a whole text, in order, in code points."""
+def candidates(text: str | None, begin: int = 0, end: int | None = None) -> list[Finding]:
+    """The candidates of a whole text, or of a part of it, in order, in code points."""
     out = []
-    for m in _ALL.finditer(text or ""):
+    for m in _ALL.finditer(text or "", begin, len(text or "") if end is None else end):
         n = int(m.lastgroup[1:])
         a, b = m.span(m.lastgroup)
         out.append(Finding(_NAMES[n], a, b, text[max(0, a - CONTEXT) : a], m.group(m.lastgroup)))
@@ -108,6 +111,7 @@ def measures(x: Finding) -> list[float]:
         float(len(_HARMLESS_NEAR.findall(before))),
         float(bool(re.search(r"[=:]\s{0,3}[\"']?$", x.before))),
         float(_NAMES.index(x.rule)),
+        sum(map(len, _PLAIN.findall(v))) / n if " " in v else 0.0,
     ]
 
 
@@ -119,9 +123,11 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[Finding, int]]
     plain = lambda: " ".join(rng.choices(words[:12] + ["of", "to", "in", "is", "on"], k=4))
     name = lambda: rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "apikey"])
     sign = lambda: rng.choice(["=", " = ", ": ", "='", ' = "', '="', ': "'])
+    word = lambda: "".join(rng.choice("b c d f g h l m n p r s t v w th st ch".split()) + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s", "t"]) for _ in range(rng.randrange(1, 4)))
+    sentence = lambda: " ".join(word() + rng.choice(["", "", "", "", ","]) for _ in range(rng.randrange(3, 25))).capitalize() + rng.choice(["", ".", "!", "?"])
     out = []
     for _ in range(n // 2):
-        kind = rng.randrange(9)
+        kind = rng.randrange(11)
         lead = f"{plain()} "
         if kind <= 2:
             value = rng.choice([lambda: pick(hexa, rng.choice([16, 18, 20, 32, 40, 64])), lambda: pick(alnum, rng.randrange(10, 44)), lambda: pick(alnum + "!@^-_+", rng.randrange(9, 24)), lambda: rng.choice(words).capitalize() + pick(string.digits, 3) + pick("!@^?", 1) + pick(alnum, 4)])()
@@ -137,10 +143,15 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[Finding, int]]
             out.append((Finding("private_key", 0, 0, lead, f"-----BEGIN RSA PRIVATE KEY-----\n{pick(alnum + '+/', rng.randrange(100, 400))}\n-----END RSA PRIVATE KEY-----"), 1))
         elif kind == 7:
             out.append((Finding("url_password", 0, 0, lead + "postgres://app:", pick(alnum, rng.randrange(8, 20))), 1))
+        elif kind == 8:
+            out.append((Finding("assigned", 0, 0, lead + name() + sign(), pick(alnum, rng.randrange(4, 10)) + pick(",;#$%&*|!@", rng.randrange(1, 4)) + pick(alnum + ",;#$%&*|", rng.randrange(3, 12)) + rng.choice(["", "", " " + pick(alnum + ",;", 8), pick(alnum + "+/", rng.randrange(150, 700))])), 1))
+        elif kind == 9:
+            before = rng.choice(["DB_PASS=", "AUTH=", "MY_AUTH=", "Authorization: Bearer ", "CREDENTIAL=", "secret key ", "cred: ", "login "])
+            out.append((Finding("mixed", 0, 0, lead + before, pick(alnum + rng.choice(["", "+/"]), rng.choice([rng.randrange(28, 90), rng.randrange(200, 800)]))), 1))
         else:
             out.append((Finding("mixed", 0, 0, lead + rng.choice(["bearer ", "auth ", "secret key ", "api key is ", "credential "]), pick(alnum, rng.randrange(28, 60))), 1))
     for _ in range(n - len(out)):
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
         lead = f"{plain()} "
         if kind == 0:
             value = rng.choice(["changeme", "your_password_here", "xxxxxxxx", "********", "placeholder", "<password>", "example", "required", "undefined", "${TOKEN}", "os.environ['TOKEN']", "getenv(TOKEN)", "{{secret}}", "none", "string"])
@@ -159,6 +170,13 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[Finding, int]]
             out.append((Finding("mixed", 0, 0, lead + rng.choice(["", "number ", "order "]), pick(string.digits, rng.randrange(24, 40))), 0))
         elif kind == 7:
             out.append((Finding("url_password", 0, 0, lead + "http://user:", rng.choice(["password", "pass", "secret", "xxx", "example", "8080"])), 0))
+        elif kind == 8:
+            value = rng.choice([" ".join(rng.choices(words, k=rng.randrange(3, 12))), sentence(), sentence() + f" {rng.randrange(99)} " + sentence(), f"{sentence()} AKIA{pick(string.ascii_uppercase + string.digits, 16)} {sentence()}", ",".join(rng.choices(words, k=3)), "********", "$" + rng.choice(words).upper(), "%" + rng.choice(words) + "%", "${" + rng.choice(words).upper() + "}"])
+            out.append((Finding("assigned", 0, 0, lead + name() + sign(), value), 0))
+        elif kind == 9:
+            out.append((Finding("mixed", 0, 0, lead + rng.choice(["id=", "uuid=", "commit=", "sha256=", "etag=", "rev="]), rng.choice([pick(hexa, 32), pick(hexa, 40), pick(hexa, 64), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))])), 0))
+        elif kind == 10:
+            out.append((Finding("mixed", 0, 0, lead + rng.choice(["src=data:image/png;base64,", "data:image/jpeg;base64,", "href=/image/", "file=/path/"]), rng.choice([pick(alnum + "+/", rng.randrange(60, 900)), "/".join(rng.choices(words, k=40)) + f"/{rng.randrange(99)}"])), 0))
         else:
             out.append((Finding("mixed", 0, 0, lead, "_".join(rng.choices(words, k=5)) + f"_{rng.randrange(99)}"), 0))
     return out
@@ -215,13 +233,20 @@ def train(labelled: list[tuple[Finding, int]] | None = None) -> Forest:
     return Forest(np.array([measures(x) for x, _ in labelled]), np.array([y for _, y in labelled], float))
 
 
-def _judged(texts: list, forest: Forest) -> tuple[list[int], list[Finding], np.ndarray]:
-    of, found = [], []
-    for i, text in enumerate(texts):
-        for x in candidates(text):
-            of.append(i)
-            found.append(x)
-    return of, found, forest.scores(np.array([measures(x) for x in found])) if found else np.empty(0)
+def _judged(texts: list, forest: Forest, least: float) -> tuple[list[int], list[Finding], list[float]]:
+    """Candidates with their scores; one that is rejected gives way to the candidates inside it."""
+    new, done = [(i, x) for i, text in enumerate(texts) for x in candidates(text)], []
+    while new:
+        score = forest.scores(np.array([measures(x) for _, x in new])).tolist()
+        inner = []
+        for (i, x), p in zip(new, score, strict=True):
+            parts = [] if p >= least else [(i, y) for y in candidates(texts[i], x.start, x.end) if y.end - y.start < x.end - x.start]
+            inner += parts
+            if not parts:
+                done.append((i, x.start, x, p))
+        new = inner
+    done.sort(key=lambda d: d[:2])
+    return [d[0] for d in done], [d[2] for d in done], [d[3] for d in done]
 
 
 def findings(docs: DataFrame, forest: Forest | None = None, least: float = 0.5) -> DataFrame:
@@ -229,8 +254,8 @@ def findings(docs: DataFrame, forest: Forest | None = None, least: float = 0.5)
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())
 
     def step(rows: dict) -> dict:
-        of, found, score = _judged(rows["text"], shared.value)
-        return {"doc_id": [rows["doc_id"][i] for i in of], "rule": [x.rule for x in found], "start": [x.start for x in found], "end": [x.end for x in found], "score": score, "secret": score >= least}
+        of, found, score = _judged(rows["text"], shared.value, least)
+        return {"doc_id": [rows["doc_id"][i] for i in of], "rule": [x.rule for x in found], "start": [x.start for x in found], "end": [x.end for x in found], "score": score, "secret": [p >= least for p in score]}
 
     return map_slices(docs.select("doc_id", "text"), step, "doc_id long, rule string, start long, end long, score double, secret boolean")
 
@@ -240,7 +265,7 @@ def redacted(docs: DataFrame, forest: Forest | None = None, least: float = 0.5)
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())
 
     def step(rows: dict) -> dict:
-        of, found, score = _judged(rows["text"], shared.value)
+        of, found, score = _judged(rows["text"], shared.value, least)
         texts = list(rows["text"])
         for i, x, p in reversed(list(zip(of, found, score, strict=True))):
             if p >= least:
