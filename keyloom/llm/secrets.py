@@ -29,9 +29,11 @@ from .common import map_slices
 
 #: A character of a value without quotes: white space ends it, and a separator that ends the text or stands before the next name.
 _BARE = r"(?:[^\s\"'<>,;&|]|[,;&|](?![\s\"'<>]|$|[A-Za-z_][\w.-]{0,40}[=:])|(?<=\w)[\"'](?=\w))"
+#: Header and base64 lines of a private key without an END line; of the base64 at least one of 16 or more characters.
+_KEY_LINES = r"(?>(?:\s|\\[rn])++[A-Z][A-Za-z-]{2,20}: (?:[^\s\\]++(?= +(?:[A-Z][A-Za-z-]{2,20}: |[A-Za-z0-9+/]{40}))|[^\n\\]*+))*+(?:(?:\s|\\[rn])++(?=[A-Za-z+/]*+\d)[A-Za-z0-9+/]{16,}+={0,2}(?![^\s\\\"'<,;.)]))++(?:(?:\s|\\[rn])++(?=[A-Za-z/]*+[0-9+=])[A-Za-z0-9+/]*+={0,2}(?![^\s\\\"'<,;.)]))?"
 #: Rules in order of preference; the group `v` is the secret.
 RULES = {
-    "private_key": r"(?P<v0>-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?)",
+    "private_key": r"(?P<v0>-----BEGIN (?P<label>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?P=label)-----|" + _KEY_LINES + r"))",
     "aws_key": r"\b(?P<v1>A[KS]IA[0-9A-Z]{16})\b",
     "github_token": r"\b(?P<v2>gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})",
     "slack_token": r"\b(?P<v3>xox[baprs]-[A-Za-z0-9-]{10,})",
@@ -140,7 +142,10 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[Finding, int]]
         elif kind == 5:
             out.append((Finding("jwt", 0, 0, lead, f"eyJ{pick(alnum, 20)}.eyJ{pick(alnum, 40)}.{pick(alnum, 43)}"), 1))
         elif kind == 6:
-            out.append((Finding("private_key", 0, 0, lead, f"-----BEGIN RSA PRIVATE KEY-----\n{pick(alnum + '+/', rng.randrange(100, 400))}\n-----END RSA PRIVATE KEY-----"), 1))
+            label = rng.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+            head = rng.choice(["", "", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{pick(hexa, 32).upper()}\n\n", "Version: GnuPG v2\n\n"])
+            body = "\n".join(pick(alnum + "+/", 64) for _ in range(rng.randrange(1, 40)))
+            out.append((Finding("private_key", 0, 0, lead, f"-----BEGIN {label}-----\n{head}{body}" + rng.choice(["", f"\n-----END {label}-----", f"\n-----END {label}-----"])), 1))
         elif kind == 7:
             out.append((Finding("url_password", 0, 0, lead + "postgres://app:", pick(alnum, rng.randrange(8, 20))), 1))
         elif kind == 8:
@@ -151,7 +156,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[Finding, int]]
         else:
             out.append((Finding("mixed", 0, 0, lead + rng.choice(["bearer ", "auth ", "secret key ", "api key is ", "credential "]), pick(alnum, rng.randrange(28, 60))), 1))
     for _ in range(n - len(out)):
-        kind = rng.randrange(12)
+        kind = rng.randrange(13)
         lead = f"{plain()} "
         if kind == 0:
             value = rng.choice(["changeme", "your_password_here", "xxxxxxxx", "********", "placeholder", "<password>", "example", "required", "undefined", "${TOKEN}", "os.environ['TOKEN']", "getenv(TOKEN)", "{{secret}}", "none", "string"])
@@ -173,6 +178,9 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[Finding, int]]
         elif kind == 8:
             value = rng.choice([" ".join(rng.choices(words, k=rng.randrange(3, 12))), sentence(), sentence() + f" {rng.randrange(99)} " + sentence(), f"{sentence()} AKIA{pick(string.ascii_uppercase + string.digits, 16)} {sentence()}", ",".join(rng.choices(words, k=3)), "********", "$" + rng.choice(words).upper(), "%" + rng.choice(words) + "%", "${" + rng.choice(words).upper() + "}"])
             out.append((Finding("assigned", 0, 0, lead + name() + sign(), value), 0))
+        elif kind == 11:
+            label = rng.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+            out.append((Finding("private_key", 0, 0, lead, f"-----BEGIN {label}-----{rng.choice([' ', chr(10), ' ... '])}{' '.join(sentence() for _ in range(rng.randrange(1, 5)))} -----END {label}-----"), 0))
         elif kind == 9:
             out.append((Finding("mixed", 0, 0, lead + rng.choice(["id=", "uuid=", "commit=", "sha256=", "etag=", "rev="]), rng.choice([pick(hexa, 32), pick(hexa, 40), pick(hexa, 64), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))])), 0))
         elif kind == 10:

@@ -159,6 +159,28 @@ def test_secret_ends():
         assert cut(text) == (text if left is None else left)
 
 
+def test_private_key_ends():
+    import random
+
+    forest, rng = secrets.train(), random.Random(9)
+    body = "\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=64)) for _ in range(12)) + "\nQ9w="
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+
+    def cut(t):
+        for x, p in reversed(list(zip(*secrets._judged([t], forest, 0.5)[1:], strict=True))):
+            t = t[: x.start] + "[]" + t[x.end :] if p >= 0.5 else t
+        return t
+
+    for label in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        begin, end = f"-----BEGIN {label}-----", f"-----END {label}-----"
+        assert cut(f"a {begin}\n{head}{body}\n{end} well-known") == "a [] well-known"
+        assert cut(f"a {begin}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{end}\\n b") == "a []\\n b"
+        assert cut(f"a {begin}\n{head}{body}\n\nand then it is a well-known word") == "a []\n\nand then it is a well-known word"
+        for clean in (f"a file has {begin} as its first line and is a well-known format", f"it opens with {begin} and then, after some lines of text, it closes with {end} in most cases"):
+            assert cut(clean) == clean
+        assert cut(f"{begin} of a key\n{begin}\n{body}\n{end}") == f"{begin} of a key\n[]"
+
+
 def base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, dup = set(), 0
