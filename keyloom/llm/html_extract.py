@@ -7,8 +7,12 @@ deviation) form the content clusters. The region that holds the clusters (the
 innermost container with nearly all their weight) gives the text: all its
 blocks, in page order, without the elements that are never content.
 
+Elements named like notices or menus are left out, but not one that holds a main,
+the longest article, or most of the page without an article elsewhere.
+
 Defined results: null or empty html, or a page without content, gives the empty
-text; unclosed and misnested tags are closed as the blocks around them end;
+text; unclosed and misnested tags, of elements left out too, are closed as the
+blocks around them end or by the next start tag that implies it;
 repeated rows each get their result; extra columns are ignored.
 """
 
@@ -29,83 +33,145 @@ SIGMA, THRESHOLD, SHARE = 1.0, 0.5, 0.9
 FEED = 1 << 16
 
 _SKIP = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "svg", "iframe", "object", "canvas", "audio", "video", "dialog", "menu"}
+#: Of these the text is kept until the whole page is known; that of the others is never content.
+_LATE = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
+_IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _REGION = {"article", "main", "section", "div", "td", "body", "table"}
-_ODD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|header|masthead|footer|foot|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment-\w+|replies|respond|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|search|copyright|hidden)(?:$|[\s_-])", re.I)
+_ODD = re.compile(r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|header|masthead|footer|foot|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment-\w+|replies|respond|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|search|copyright|hidden)(?:$|[\s_-])", re.I)
 #: A start tag of the key closes the open elements named, up to a container.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags, and the chain of open regions."""
+    """Collects lines: text, tags, the chain of open regions, and that of open elements to leave out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
         self.regions: list[str] = []
-        self.open: list[tuple[str, int | None]] = []
-        self.skip: list[str] = []
+        self.skips: list[str] = []
+        #: Regions that are open around each main and article, and the elements to leave out around them.
+        self.around: dict[int, tuple[int, ...]] = {}
+        self.open: list[tuple[str, int | None, int | None]] = []
+        #: How many open elements are left out, and how many of them at once.
+        self.out = self.never = 0
         self.text, self.tags = [], 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, max(1, self.tags), tuple(r for _, r in self.open if r is not None)))
+            self.lines.append((text, max(1, self.tags), tuple(r for _, r, _ in self.open if r is not None), self.skipped()))
         self.text, self.tags = [], 0
 
+    def skipped(self) -> tuple[int, ...]:
+        return tuple(k for _, _, k in self.open if k is not None) if self.out else ()
+
+    def push(self, tag: str, region: int | None = None, skip: str | None = None) -> None:
+        k = None
+        if skip:
+            k = len(self.skips)
+            self.skips.append(skip)
+            self.out += 1
+            self.never += skip == "never"
+        self.open.append((tag, region, k))
+
+    def cut(self, at: int) -> None:
+        """Closes the open elements from the given one on."""
+        for _, _, k in self.open[at:]:
+            if k is not None:
+                self.flush()
+                self.out -= 1
+                self.never -= self.skips[k] == "never"
+        del self.open[at:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            if tag == self.skip[0]:
-                self.skip.append(tag)
-            return
+        if self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
+            self.cut(len(self.open) - 1)
+        if tag in _BLOCK:
+            self.make_way(tag)
         self.tags += 1
-        if tag == "br":
+        if tag == "br" and not self.never:
             self.text.append(" ")
+        if tag in _VOID:
+            return
         named = dict(attrs)
         odd = tag not in ("html", "body", "article", "main") and (_ODD.search(f"{named.get('class') or ''} {named.get('id') or ''}") or named.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert") or "hidden" in named or named.get("aria-hidden") == "true")
-        if tag in _SKIP or odd:
-            if tag not in _VOID:
-                self.flush()
-                self.skip = [tag]
-            return
-        if tag in _BLOCK:
+        skip = "named" if odd or tag == "form" else None
+        if tag in _SKIP and tag != "form":
+            skip = "tag" if tag in _LATE else "never"
+        if self.never:
+            skip = None
+        if skip or tag in _BLOCK:
             self.flush()
-            closes = _CLOSES.get(tag, {"p"})
-            while self.open and self.open[-1][0] in closes:
-                self.open.pop()
-            if tag in _VOID:
-                return
-            region = None
-            if tag in _REGION:
-                region = len(self.regions)
-                self.regions.append(tag)
-            self.open.append((tag, region))
+        region = None
+        if tag in _REGION and not self.never:
+            region = len(self.regions)
+            self.regions.append(tag)
+            if tag in ("article", "main"):
+                self.around[region] = self.skipped()
+        if skip or tag in _BLOCK or self.out:
+            self.push(tag, region, skip)
+
+    def make_way(self, tag: str) -> None:
+        """Ends the line, and the elements that a block's start tag closes; inline ones in them end too."""
+        self.flush()
+        closes, at = _CLOSES.get(tag, {"p"}), None
+        for i in range(len(self.open) - 1, -1, -1):
+            x = self.open[i][0]
+            if x in closes:
+                at = i
+            elif x in _BLOCK or x in _SKIP:
+                break
+        if at is not None:
+            self.cut(at)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _VOID:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            # An unclosed element that is skipped ends with the block around it.
-            if tag == self.skip[0]:
-                self.skip.pop()
-            elif tag in ("article", "main", "body", "html") and any(x == tag for x, _ in self.open):
-                self.skip = []
-                self.handle_endtag(tag)
-            return
+        outer = tag in _BLOCK or tag in _SKIP
         self.tags += 1
+        if not self.out and not outer:
+            return
         if tag in _BLOCK:
             self.flush()
-            if any(x == tag for x, _ in self.open):
-                while self.open.pop()[0] != tag:
-                    pass
+        for i in range(len(self.open) - 1, -1, -1):
+            x = self.open[i][0]
+            if x == tag:
+                self.cut(i)
+                return
+            if not outer and (x in _BLOCK or x in _SKIP):
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.never:
             self.text.append(data)
 
+    def kept(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The lines without those in elements that are left out, as seen from the whole page."""
+        held, under = {}, {}
+        total = every = 0
+        for text, _, chain, skips in self.lines:
+            every += len(text)
+            if not any(self.skips[k] == "tag" for k in skips):
+                total += len(text)
+            for r in chain:
+                held[r] = held.get(r, 0) + len(text)
+            for k in skips:
+                under[k] = under.get(k, 0) + len(text)
+        first = max((r for r in self.around if held.get(r)), key=lambda r: held[r], default=None)
+        spared = set()
+        for r, skips in self.around.items():
+            heavy = held.get(r, 0) * 2 > every
+            spared.update(k for k in skips if held.get(r) and (heavy or self.skips[k] == "named" and (r == first or self.regions[r] == "main")))
+        inside = {k for skips in self.around.values() for k in skips}
+        free = any(held.get(r) and not skips for r, skips in self.around.items())
+        spared.update(k for k, n in under.items() if self.skips[k] == "named" and n * 2 > total and (k in inside or not free))
+        return [(text, tags, chain) for text, tags, chain, skips in self.lines if spared.issuperset(skips)]
+
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """ratio under a normalised Gaussian of the given width, cut at three widths."""
@@ -120,12 +186,13 @@ def main_text(html: str | None) -> str:
         page.feed(html[i : i + FEED])
     page.close()
     page.flush()
-    if not page.lines:
+    lines = page.kept()
+    if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / tags for text, tags, _ in page.lines]))
-    weight = np.where(ratio >= THRESHOLD * ratio.std(), [len(x[0]) for x in page.lines], 0)
+    ratio = smoothed(np.array([len(text) / tags for text, tags, _ in lines]))
+    weight = np.where(ratio >= THRESHOLD * ratio.std(), [len(x[0]) for x in lines], 0)
     held: dict[int, int] = {}
-    for w, (_, _, chain) in zip(weight.tolist(), page.lines, strict=True):
+    for w, (_, _, chain) in zip(weight.tolist(), lines, strict=True):
         for r in chain:
             held[r] = held.get(r, 0) + w
     region, total = None, int(weight.sum())
@@ -136,7 +203,7 @@ def main_text(html: str | None) -> str:
         for r in range(len(page.regions)):
             if held.get(r, 0) >= SHARE * (held[region] if region is not None else total) and (region is None or page.regions[region] != "main"):
                 region = r
-    return "\n".join(text for text, _, chain in page.lines if region is None or region in chain)
+    return "\n".join(text for text, _, chain in lines if region is None or region in chain)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -45,6 +45,28 @@ def test_page_shapes(spark):
     assert html_extract.extracted(frame.limit(0)).count() == 0
 
 
+SKIPPED = "Some sentence of the article that goes on for a while, and more of it. " * 3
+SKIP_PAGES = [
+    ("<body><div>{0}<p class='notice'>x<p>{0}</p><p>{0}</p></div></body>", 3),
+    ("<body><div class='ad'>Buy<article><p>{0}<p>{0}</article></body>", 2),
+    ("<body><div class='page has-sidebar'><h1>T</h1><p>{0}</p><p>{0}</p></div></body>", 2),
+    ("<body><div class='page widget'><article><p>{0}</p></article><div class='sidebar'>s</div></div></body>", 1),
+    ("<body><ul><li>{0}<li class='promo'>x<li>{0}</ul><p>{0}</body>", 3),
+    ("<body><table><tr><td>{0}<td class='share'>x<td>{0}<tr><td>{0}</table></body>", 3),
+    ("<body><div>{0}<div><span class='ad'>x</div><p>{0}</div></body>", 2),
+    ("<body><form id='f'><article><p>{0}<p>{0}</article></form></body>", 2),
+    ("<html><head><title>t</title><body><p>{0}</html>", 1),
+    ("<body><div><p>{0}<p>{0}</div><div class='comments'><p>{0}</div></body>", 2),
+    ("<body><article><p>{0}<p>{0}</article><div class='related'><article>{0}</article></div></body>", 2),
+]
+
+
+@pytest.mark.parametrize("page,n", SKIP_PAGES)
+def test_page_skips_end(page, n):
+    lines = html_extract.main_text(page.format(SKIPPED)).split("\n")
+    assert lines.count(SKIPPED.strip()) == n and not {"x", "s", "t", "Buy"} & set(lines)
+
+
 @pytest.mark.parametrize("chunk", [10**6, 5])
 def test_token_counts(odd, real, chunk):
     texts = odd + texts_of(real("documents"))[:60]
