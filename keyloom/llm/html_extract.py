@@ -3,9 +3,10 @@
 The parser's events fill lines, one for each block of the page, with the number
 of characters and tags in each. The ratio of text to tags is smoothed over the
 lines by a Gaussian; lines at or above a threshold (a share of the standard
-deviation) form the content clusters. The region that holds the clusters (the
-innermost container with nearly all their weight) gives the text: all its
-blocks, in page order, without the elements that are never content.
+deviation) form the content clusters. The region that holds the clusters gives
+the text: all its blocks, in page order, without the elements that are never
+content. It is an article with over half of their weight, or a main with nearly
+all of it, or else the innermost container outside which no cluster or heading is.
 
 Elements named like notices or menus are left out, but not one that holds a main,
 the longest article, or most of the page without an article elsewhere.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices
 
-#: Width of the Gaussian in lines, the threshold in standard deviations, and the share of weight that moves the region inwards.
+#: Width of the Gaussian in lines, the threshold in standard deviations, and the share of weight that makes a main the region.
 SIGMA, THRESHOLD, SHARE = 1.0, 0.5, 0.9
 #: Characters fed to the parser at once.
 FEED = 1 << 16
@@ -37,6 +38,7 @@ _SKIP = {"script", "style", "noscript", "template", "head", "title", "nav", "hea
 _LATE = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 _IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _REGION = {"article", "main", "section", "div", "td", "body", "table"}
 _ODD = re.compile(r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|header|masthead|footer|foot|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment-\w+|replies|respond|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|search|copyright|hidden)(?:$|[\s_-])", re.I)
@@ -49,7 +51,7 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []
         self.regions: list[str] = []
         self.skips: list[str] = []
         #: Regions that are open around each main and article, and the elements to leave out around them.
@@ -62,7 +64,7 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, max(1, self.tags), tuple(r for _, r, _ in self.open if r is not None), self.skipped()))
+            self.lines.append((text, max(1, self.tags), tuple(r for _, r, _ in self.open if r is not None), self.skipped(), any(x in _HEADING for x, _, _ in self.open)))
         self.text, self.tags = [], 0
 
     def skipped(self) -> tuple[int, ...]:
@@ -150,11 +152,11 @@ class _Lines(HTMLParser):
         if not self.never:
             self.text.append(data)
 
-    def kept(self) -> list[tuple[str, int, tuple[int, ...]]]:
+    def kept(self) -> list[tuple[str, int, tuple[int, ...], bool]]:
         """The lines without those in elements that are left out, as seen from the whole page."""
         held, under = {}, {}
         total = every = 0
-        for text, _, chain, skips in self.lines:
+        for text, _, chain, skips, _ in self.lines:
             every += len(text)
             if not any(self.skips[k] == "tag" for k in skips):
                 total += len(text)
@@ -170,7 +172,7 @@ class _Lines(HTMLParser):
         inside = {k for skips in self.around.values() for k in skips}
         free = any(held.get(r) and not skips for r, skips in self.around.items())
         spared.update(k for k, n in under.items() if self.skips[k] == "named" and n * 2 > total and (k in inside or not free))
-        return [(text, tags, chain) for text, tags, chain, skips in self.lines if spared.issuperset(skips)]
+        return [(text, tags, chain, heading) for text, tags, chain, skips, heading in self.lines if spared.issuperset(skips)]
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -189,21 +191,29 @@ def main_text(html: str | None) -> str:
     lines = page.kept()
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / tags for text, tags, _ in lines]))
+    ratio = smoothed(np.array([len(text) / tags for text, tags, _, _ in lines]))
     weight = np.where(ratio >= THRESHOLD * ratio.std(), [len(x[0]) for x in lines], 0)
     held: dict[int, int] = {}
-    for w, (_, _, chain) in zip(weight.tolist(), lines, strict=True):
+    needed: dict[int, int] = {}
+    every = 0
+    for w, (_, _, chain, heading) in zip(weight.tolist(), lines, strict=True):
+        need = w > 0 or heading
+        every += need
         for r in chain:
             held[r] = held.get(r, 0) + w
+            needed[r] = needed.get(r, 0) + need
     region, total = None, int(weight.sum())
     best = [r for r, tag in enumerate(page.regions) if tag == "article" and held.get(r, 0) * 2 > total]
     if best:
         region = best[0]
     else:
-        for r in range(len(page.regions)):
-            if held.get(r, 0) >= SHARE * (held[region] if region is not None else total) and (region is None or page.regions[region] != "main"):
+        for r, tag in enumerate(page.regions):
+            if tag == "main" and held.get(r, 0) >= SHARE * total:
                 region = r
-    return "\n".join(text for text, _, chain in lines if region is None or region in chain)
+                break
+            if needed.get(r, 0) == every:
+                region = r
+    return "\n".join(text for text, _, chain, _ in lines if region is None or region in chain)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -67,6 +67,17 @@ def test_page_skips_end(page, n):
     assert lines.count(SKIPPED.strip()) == n and not {"x", "s", "t", "Buy"} & set(lines)
 
 
+def test_page_region_keeps_ends():
+    line = SKIPPED.strip()
+    for n in (3, 30, 300):
+        inner = f"<p>{line}</p>" * n
+        want = "\n".join(["Title", "Lead: " + line, *[line] * n, "Last: " + line])
+        page = f"<h1>Title</h1><p>Lead: {line}</p><div class=body>{inner}</div><p>Last: {line}</p>"
+        assert html_extract.main_text(f"<body><div id=content>{page}</div></body>") == want
+        deep = f"<div><div><div>{inner}</div><p>c {line}</p></div><p>b {line}</p></div><p>a {line}</p>"
+        assert html_extract.main_text(f"<body><p>0 {line}</p><div>{deep}</div></body>").split("\n") == ["0 " + line, *[line] * n, "c " + line, "b " + line, "a " + line]
+
+
 @pytest.mark.parametrize("chunk", [10**6, 5])
 def test_token_counts(odd, real, chunk):
     texts = odd + texts_of(real("documents"))[:60]
