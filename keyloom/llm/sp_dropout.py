@@ -3,11 +3,11 @@
 The model's file gives pieces and scores; merging is done here, for all distinct
 words of a slice in parallel. A candidate merge is a pair of neighbouring symbols
 whose joint text is a piece. The best candidate (highest score, then leftmost) is
-taken first, but a candidate is passed over if a keyed hash of its word, draw and
-span falls under the dropout rate; a new neighbour makes a new candidate. Each
-occurrence of a word has one of DRAWS draws, by a keyed hash of document and
-position, so that a text's segmentation varies with the seed, and the same seed
-gives the same ids on any machine.
+taken first, but a candidate is passed over if a keyed hash of its word, document,
+position and span falls under the dropout rate; a new neighbour makes a new
+candidate. So each occurrence of a word has a draw of its own, and the same seed
+gives the same ids on any machine. What a worker remembers is the segmentation of
+a word for each set of spans that are passed over, which settles it.
 
 Characters without a piece, and the piece mark itself where a text contains it,
 become byte pieces. Decoding gives every text back exactly; without dropout the
@@ -30,8 +30,8 @@ from .common import M1, M2, map_slices, mix64
 from .token_counts import default_path
 from .token_files import _ODD, _ODD_INVERSE, Pieces, _powers, _runs
 
-#: Draws of a word, and segmentations that a worker remembers.
-DRAWS, MEMO = 4, 300_000
+#: Segmentations that a worker remembers, their symbols, and the symbols of the longest word remembered.
+MEMO, MEMO_SYMBOLS, SHORT = 300_000, 8_000_000, 64
 _MARK, _LITERAL = 0x2581, 0x110000
 _NONE = np.int32(1 << 30)
 
@@ -68,6 +68,7 @@ class Segmenter:
             while self.pair_key[at] >= 0:
                 at = (at + 1) & (len(self.pair_key) - 1)
             self.pair_key[at], self.pair_rank[at] = k, r
+        made = set(pairs.values())
         self.symbol = np.full(_LITERAL + 1, -1, np.int32)
         for x, i in plain.items():
             if len(x) == 1:
@@ -75,7 +76,13 @@ class Segmenter:
         flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_n = np.array([len(x) for x in self.bytes_of], np.int64)
         self.byte_at, self.byte_flat = np.cumsum(self.byte_n) - self.byte_n, flat
-        self.known, self.powers, self.inverse = Pieces(), _powers(_ODD, 1), _powers(_ODD_INVERSE, 1)
+        self.known, self.spans, self.powers, self.inverse = Pieces(), Pieces(), _powers(_ODD, 1), _powers(_ODD_INVERSE, 1)
+        spelt = [self.symbol[[ord(c) for c in x]] for x, i in plain.items() if len(x) > 1 and rank[i] in made]
+        self.longest = min(SHORT, max(map(len, spelt), default=0))
+        power = _powers(_ODD, max(map(len, spelt), default=0) + 1)
+        self.merged = np.unique(np.array([((x.astype(np.uint64) + M1) * power[: len(x)]).sum() for x in spelt if (x >= 0).all()], np.uint64))
+        self.may = np.zeros(1 << 20, bool)
+        self.may[self.merged >> np.uint64(44)] = True
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * M1) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
@@ -98,12 +105,63 @@ class Segmenter:
         """Ranks of candidates, without those that the keyed hash passes over."""
         rank = self._ranks(left, right)
         if self.rate:
-            out = mix64(mix64(word ^ self.salt) + (start.astype(np.uint64) << np.uint64(32)) + end.astype(np.uint64)) <= self.rate
-            rank[out] = _NONE
+            rank[self._passed(mix64(word ^ self.salt), start.astype(np.uint64), end.astype(np.uint64))] = _NONE
         return rank
 
+    def _passed(self, salted: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the keyed hash passes over each span."""
+        return mix64(salted + ((start << np.uint64(32)) + end)) <= self.rate
+
+    def _possible(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Every span of each word that spells a piece made by merging, as start * 256 + end, and how many each has."""
+        size = np.array([len(x) for x in words])
+        flat, ends = np.concatenate(words), np.cumsum(size)
+        of = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(flat)) - (ends - size)[of]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + M1) * self.powers[place])])
+        at, found, codes = np.arange(len(flat)), [], []
+        for n in range(2, self.longest + 1):
+            at = at[at + n <= ends[of[at]]]
+            h = (sums[at + n] - sums[at]) * self.inverse[place[at]]
+            maybe = np.flatnonzero(self.may[h >> np.uint64(44)])
+            near = np.minimum(np.searchsorted(self.merged, h[maybe]), len(self.merged) - 1)
+            hit = at[maybe[self.merged[near] == h[maybe]]]
+            found.append(of[hit])
+            codes.append(place[hit] * 256 + place[hit] + n)
+        found, codes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, codes))
+        return codes[np.argsort(found, kind="stable")], np.bincount(found, minlength=len(words))
+
+    def _outcomes(self, word: np.ndarray, own: np.ndarray, flat: np.ndarray, starts: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """A key of each word with the spans passed over in it; of a long word, its own key."""
+        if not self.rate:
+            return word
+        key = own.copy()
+        short = np.flatnonzero(chars <= SHORT)
+        if self.spans.n > MEMO:
+            self.spans = Pieces()
+        entry = self.spans.find(word[short])
+        if len(new := np.flatnonzero(entry < 0)):
+            fresh, once = np.unique(word[short[new]], return_index=True)
+            at = short[new[once]]
+            words = [flat[a : a + c] for a, c in zip(starts[at].tolist(), chars[at].tolist(), strict=True)]
+            codes, n = self._possible(words)
+            self.spans.add(fresh, np.empty(0, np.uint32), np.zeros(len(fresh), np.int64), codes.astype(np.uint32), n)
+            entry[new] = self.spans.find(word[short[new]])
+        n = self.spans.at["n_ids"][entry]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        salted, first = mix64(own[short] ^ self.salt), self.spans.at["ids"][entry]
+        # Parts of the occurrences, whose spans fit a processor's cache.
+        for i in range(0, len(short), 8192):
+            part = slice(i, i + 8192)
+            code = self.spans.ids[_runs(first[part], n[part])].astype(np.uint64)
+            out = np.flatnonzero(self._passed(np.repeat(salted[part], n[part]), code >> np.uint64(8), code & np.uint64(255)))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(code[out] ^ M2))])
+            cuts = np.searchsorted(out, ends[i : i + 8193] - ends[i])
+            key[short[part]] = mix64(word[short[part]] + (sums[cuts[1:]] - sums[cuts[:-1]]))
+        return key
+
     def merge(self, words: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
-        """The ids of each word, given as symbols; keys name word and draw."""
+        """The ids of each word, given as symbols; keys name word and occurrence."""
         out: list = [None] * len(words)
         size = np.array([len(x) for x in words])
         for low, high in [(0, 4), *((1 << i, 2 << i) for i in range(2, 40))]:
@@ -183,19 +241,21 @@ class Segmenter:
         doc = np.searchsorted(doc_at, word_at, "right") - 1
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
         own = np.array([(names[i] or 0) & (2**64 - 1) for i in some], np.uint64)
-        draw = mix64(mix64(own ^ self.seed)[doc] + number.astype(np.uint64)) % np.uint64(DRAWS) if self.rate else np.zeros(len(doc), np.uint64)
-        if len(self.powers) <= len(flat):
-            self.powers, self.inverse = _powers(_ODD, len(flat) + 1), _powers(_ODD_INVERSE, len(flat) + 1)
+        draw = mix64(mix64(own ^ self.seed)[doc] + number.astype(np.uint64))
+        if len(self.powers) <= len(flat) + SHORT:
+            self.powers, self.inverse = _powers(_ODD, len(flat) + SHORT + 1), _powers(_ODD_INVERSE, len(flat) + SHORT + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + M1) * self.powers[: len(flat)])])
-        key = mix64(mix64((sums[starts + chars] - sums[starts]) * self.inverse[starts] ^ chars.astype(np.uint64)) + draw)
-        if self.known.n > MEMO:
+        word = mix64((sums[starts + chars] - sums[starts]) * self.inverse[starts] ^ chars.astype(np.uint64))
+        each = mix64(word + draw)
+        key = self._outcomes(word, each, flat, starts, chars)
+        if self.known.n > MEMO or self.known.used[0] > MEMO_SYMBOLS:
             self.known = Pieces()
         entry = self.known.find(key)
         if len(new := np.flatnonzero(entry < 0)):
             fresh, first = np.unique(key[new], return_index=True)
             at = new[first]
             words = [flat[a : a + c] for a, c in zip(starts[at].tolist(), chars[at].tolist(), strict=True)]
-            made = self.merge(words, fresh)
+            made = self.merge(words, each[at])
             self.known.add(fresh, np.concatenate(words).astype(np.uint32), chars[at], np.concatenate(made).astype(np.uint32), np.array([len(x) for x in made]))
             entry[new] = self.known.find(key[new])
         held = self.known.at

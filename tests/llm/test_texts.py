@@ -138,6 +138,24 @@ def test_merge_dropout(odd, real):
     assert len(every) == 8
 
 
+def test_merge_dropout_draws(odd, real, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    names, n = "the of information university".split(), 3000
+    own = sp_dropout.Segmenter(path, 0.1, 1)
+    for word in names:
+        ids, _ = own.encode([" ".join([word] * n)], [5])
+        cuts = np.flatnonzero([own.bytes_of[i][:1] == b" " for i in ids])
+        ways = [tuple(x) for x in np.split(ids, cuts[1:])]
+        assert len(ways) == n
+        plain = tuple(sp_dropout.Segmenter(path, 0.0).encode([word], [0])[0])
+        assert 0.3 < ways.count(plain) / n < 0.92 and len(set(ways)) >= (4 if len(word) < 4 else 10)
+    texts = odd + texts_of(real("documents"))[:60]
+    ids, n = sp_dropout.Segmenter(path, 0.1, 1).encode(texts, range(len(texts)))
+    monkeypatch.setattr(sp_dropout, "SHORT", 0)  # every occurrence by itself, nothing remembered
+    alone = sp_dropout.Segmenter(path, 0.1, 1).encode(texts, range(len(texts)))
+    assert ids.tolist() == alone[0].tolist() and n.tolist() == alone[1].tolist()
+
+
 def test_merge_dropout_rows(spark, docs, odd):
     got = sp_dropout.digests(docs([*odd, (None, "a"), (0, None)])).collect()
     assert len(got) == len(odd) + 2 and all(x.lossless for x in got)
