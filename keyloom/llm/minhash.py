@@ -213,6 +213,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2) -> DataF
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
-    """The rows of docs without those that a smaller doc_id stands for."""
-    gone = stored(near_duplicates(docs, percent, words).where("not kept").select("doc_id"), "dropped")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs without those that a smaller doc_id stands for.
+
+    Where ids are null or repeat, a row is known by its id and text: repeated rows
+    count once, rows of one id with different texts are compared like any others,
+    and a row without id is kept only if no row with one stands for it.
+    """
+    unique = docs.groupBy("doc_id").count().agg(F.coalesce(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("count"))), F.lit(0))).first()[0] < 2
+    if unique:
+        gone = stored(near_duplicates(docs, percent, words).where("not kept").select("doc_id"), "dropped")
+        return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    keys = ["doc_id", "t1", "t2"]
+    keyed = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.hash("text")).dropDuplicates(keys)
+    order = keyed.select(*keys).orderBy(F.col("doc_id").asc_nulls_last(), "t1", "t2")
+    numbered = stored(docs.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), "doc_id long, t1 long, t2 int, row long"), "rows")
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.t1") == F.col("r.t1")) & (F.col("d.t2") == F.col("r.t2"))
+    rows = stored(keyed.alias("d").join(numbered.alias("r"), same).select("d.*", "r.row").drop("t1", "t2"), "keyed")
+    gone = stored(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent, words).where("not kept").select(F.col("doc_id").alias("row")), "dropped")
+    return rows.join(bounded(gone), "row", "left_anti").select(docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,29 @@ def test_written_shards(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 100 and back.groupBy("shard").count().select(F.min("count"), F.max("count")).first()[:] == (25, 25)
     assert back.select("doc_id", "text").exceptAll(frame.select("doc_id", "text")).count() == 0
+
+
+def test_filters_judge_rows(spark, docs):
+    rng = np.random.default_rng(3)
+    some = lambda: " ".join(f"w{k}" for k in rng.integers(0, 10**6, 40))
+    item, a, b, c = some(), some(), some(), some()
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    frame = docs([(None, item), (1, item), (1, a), (2, b), (None, c)])
+    for size in (decontam.INDEX_BYTES, 0):
+        got = decontam.decontaminated(frame, items, 1, size).collect()
+        assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
+    rows = [(None, a), (None, a), (3, a), (1, b), (1, b), (1, c), (5, c), (None, item), (None, item)]
+    got = minhash.deduplicated(docs(rows), 80, 5).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted([(3, a), (1, b), (1, c), (None, item)], key=str)
+    assert minhash.deduplicated(docs([])).count() == 0
+
+
+def test_classifier_judges_rows(spark, docs):
+    from keyloom.llm import quality
+
+    good, poor = "fine clear words of a good text", "bad awful junk of a poor text"
+    frame = docs([(i, (good if i % 2 else poor) + f" {i}") for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    more = frame.union(docs([(None, poor), (None, good), (1, poor), (0, good)]))
+    got = [(x.doc_id, x.text) for x in quality.selected(more, labels).collect()]
+    assert all(t.startswith("fine") for _, t in got) and {(None, good), (0, good)} <= set(got) and len(got) == 102
