@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import INDEX, Connection, Head
@@ -19,11 +19,18 @@ class Report:
     orphans: list[str] = field(default_factory=list)
     missing: list[str] = field(default_factory=list)
     unmanifested: list[int] = field(default_factory=list)
-    lost_keys: list[str] = field(default_factory=list)
+    #: How many keys of the index have no whole row, and all of them (column key), read anew from the commit.
+    n_lost: int = 0
+    lost: DataFrame | None = None
     deleted: list[str] = field(default_factory=list)
 
     def __bool__(self) -> bool:
-        return not (self.orphans or self.missing or self.unmanifested or self.lost_keys)
+        return not (self.orphans or self.missing or self.unmanifested or self.n_lost)
+
+    @property
+    def lost_keys(self) -> list[str]:
+        """All lost keys in order, brought to the driver; use `lost` where there may be very many."""
+        return sorted(x.key for x in self.lost.collect()) if self.n_lost else []
 
 
 def fsck(spark: SparkSession, conn: Connection | dict | str, delete_orphans: bool = False, min_age: float = 24 * 3600, check_rows: bool = False, lock_timeout: float = 300) -> Report:
@@ -49,7 +56,8 @@ def fsck(spark: SparkSession, conn: Connection | dict | str, delete_orphans: boo
                 there = [f"groups/gen={gen}/gid={g}" for g, gen in head.manifest.items() if f"groups/gen={gen}/gid={g}" not in set(report.missing)]
                 rows = spark.read.schema("key string, ts long, value binary").parquet(*map(store.path, there)) if there else spark.createDataFrame([], "key string, ts long, value binary")
                 whole = rows.select("key", F.octet_length("value").cast("long").alias("length"))
-                report.lost_keys = sorted(x.key for x in index.join(whole, ["key", "length"], "left_anti").limit(1000).collect())
+                report.lost = index.join(whole, ["key", "length"], "left_anti").select("key")
+                report.n_lost = report.lost.count()
         if delete_orphans:
             for child in sorted(old):
                 if time.time() - old[child] >= min_age:

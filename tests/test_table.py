@@ -112,6 +112,18 @@ def test_stale_reader_heals_and_damage_is_told(spark, place):
     r.close()
 
 
+def test_fsck_gives_all_lost_keys(spark, place):
+    seeded(spark, place, None, 2500).close()
+    assert fsck(spark, place[0], check_rows=True).lost_keys == []
+    t = open_table(spark, place[0], place[1]("b"))
+    (gid, gen), = t.head.manifest.items()
+    t.store.delete(f"groups/gen={gen}")
+    report = fsck(spark, place[0], check_rows=True)
+    assert not report and report.n_lost == 2500 == report.lost.count()
+    assert report.lost_keys == sorted(f"k{i}" for i in range(1, 2501))
+    t.close()
+
+
 def test_replacement(spark, place):
     seeded(spark, place).close()
     t = open_table(spark, place[0], place[1]("n"), "n", num_groups=5)
