@@ -21,6 +21,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import sentencepiece
@@ -154,9 +155,9 @@ class Segmenter:
         for i in range(0, len(short), 8192):
             part = slice(i, i + 8192)
             code = self.spans.ids[_runs(first[part], n[part])].astype(np.uint64)
-            out = np.flatnonzero(self._passed(np.repeat(salted[part], n[part]), code >> np.uint64(8), code & np.uint64(255)))
+            out = self._passed(np.repeat(salted[part], n[part]), code >> np.uint64(8), code & np.uint64(255))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(code[out] ^ M2))])
-            cuts = np.searchsorted(out, ends[i : i + 8193] - ends[i])
+            cuts = np.concatenate([[0], np.cumsum(out)])[ends[i : i + 8193] - ends[i]]
             key[short[part]] = mix64(word[short[part]] + (sums[cuts[1:]] - sums[cuts[:-1]]))
         return key
 
@@ -164,7 +165,7 @@ class Segmenter:
         """The ids of each word, given as symbols; keys name word and occurrence."""
         out: list = [None] * len(words)
         size = np.array([len(x) for x in words])
-        for low, high in [(0, 4), *((1 << i, 2 << i) for i in range(2, 40))]:
+        for low, high in pairwise([0, 4, 6, 8, 10, 12, *(1 << i for i in range(4, 42))]):
             group = np.flatnonzero((size > low) & (size <= high))
             # A group's square holds at most some millions of symbols.
             step = max(1, 2_000_000 // high)
@@ -238,8 +239,9 @@ class Segmenter:
         word_at = np.flatnonzero(begins)
         starts = place[word_at]
         chars = np.diff(starts, append=len(flat))
-        doc = np.searchsorted(doc_at, word_at, "right") - 1
-        number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        first = np.searchsorted(word_at, doc_at)
+        doc = np.repeat(np.arange(len(some)), np.diff(first))
+        number = np.arange(len(doc)) - first[doc]
         own = np.array([(names[i] or 0) & (2**64 - 1) for i in some], np.uint64)
         draw = mix64(mix64(own ^ self.seed)[doc] + number.astype(np.uint64))
         if len(self.powers) <= len(flat) + SHORT:
@@ -252,8 +254,8 @@ class Segmenter:
             self.known = Pieces()
         entry = self.known.find(key)
         if len(new := np.flatnonzero(entry < 0)):
-            fresh, first = np.unique(key[new], return_index=True)
-            at = new[first]
+            fresh, once = np.unique(key[new], return_index=True)
+            at = new[once]
             words = [flat[a : a + c] for a, c in zip(starts[at].tolist(), chars[at].tolist(), strict=True)]
             made = self.merge(words, each[at])
             self.known.add(fresh, np.concatenate(words).astype(np.uint32), chars[at], np.concatenate(made).astype(np.uint32), np.array([len(x) for x in made]))
@@ -262,9 +264,8 @@ class Segmenter:
         if (held["chars"][entry] != chars).any() or (self.known.points[_runs(held["text"][entry], chars)] != flat).any():
             raise ValueError("two words share a 64-bit hash")
         n_ids = held["n_ids"][entry]
-        cuts = np.searchsorted(doc, np.arange(len(some) + 1))
         total = np.concatenate([[0], np.cumsum(n_ids)])
-        n[some] = total[cuts[1:]] - total[cuts[:-1]]
+        n[some] = total[first[1:]] - total[first[:-1]]
         return self.known.ids[_runs(held["ids"][entry], n_ids)], n
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
