@@ -8,11 +8,11 @@ suffix that may begin a token, the token before it and the count there. States
 are finite and compiled when first reached, so that a worker's tables hold what
 its texts need. All pre-tokens of a slice run in parallel, byte by byte.
 
-A long text is cut into chunks. A chunk's map is constant behind its first
-synchronising boundary (white space after something else) whatever state it is
-entered in, so the map is kept as head, count and tail; maps compose
-associatively and are combined by a parallel prefix scan in a logarithmic number
-of rounds. No step holds more than a slice of text.
+A long text is cut into chunks. A chunk's first and last synchronising boundary
+(white space after something else) split it into an open head, closed stretches
+and an open tail, kept as text; one pass joins tails to the heads behind them, and
+counting follows on the stretches. No maps from state to state and count are
+composed. A text without such boundaries stays whole in one step.
 
 Counts equal those of the tokenizers library for the file, with special strings
 inside texts taken as special tokens. Defined results: null and empty text have
