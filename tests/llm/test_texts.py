@@ -78,6 +78,46 @@ def test_page_region_keeps_ends():
         assert html_extract.main_text(f"<body><p>0 {line}</p><div>{deep}</div></body>").split("\n") == ["0 " + line, *[line] * n, "c " + line, "b " + line, "a " + line]
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "with-banner", "menu-open", "search-result", "comments-open", "widget", "page sidebar"])
+def test_page_wrappers(name):
+    page = f"<body><div class='{name}'><h1>T</h1><p>{SKIPPED}<p>{SKIPPED}</div></body>"
+    assert html_extract.main_text(page).split("\n") == ["T", SKIPPED.strip(), SKIPPED.strip()]
+
+
+def test_page_text_without_articles(real):
+    """Without article tags the clusters find the same region."""
+    for (html,) in real("pages").select("html").collect():
+        assert html_extract.main_text(re.sub("<(/?)article>", r"<\1div>", html)) == html_extract.main_text(html)
+
+
+def test_page_ratio_decides(monkeypatch):
+    rng = np.random.default_rng(5)
+    links = lambda n: "<div>" + "".join(f"<div><a href='#'><i>item {rng.integers(99)}</i></a></div>" for _ in range(n)) + "</div>"
+    pages = [(links(rng.integers(3, 12)) + "<div><h2>T</h2>" + f"<p>{SKIPPED}</p>" * n + "</div>" + links(rng.integers(3, 12)), n) for n in range(1, 12)]
+    right = lambda: sum(html_extract.main_text(p).split("\n") == ["T", *[SKIPPED.strip()] * n] for p, n in pages)
+    assert right() == len(pages)
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratio: rng.random(len(ratio)) * 100)
+    assert right() < 3
+
+
+HOSTILE = ["<!-- " * 60_000, "<div>" * 50_000 + "</p>" * 200_000, "<![CDATA[" * 200_000 + ">", "<![foo[" * 200_000 + ">", "<a " * 500_000, "<a href=\"x>" * 200_000, "<?" * 500_000, "&#" * 500_000, "<p>" * 300_000, "<span class=ad>" * 50_000, "".join(f"<div>x{i}" for i in range(30_000)), "a " * 2_500_000]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=range(len(HOSTILE)))
+def test_page_hostile(page):
+    import time
+
+    began = time.process_time()
+    assert SKIPPED.strip() in html_extract.main_text(f"<article><p>{SKIPPED}</p></article>{page}")
+    html_extract.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_page_columns(spark):
+    frame = spark.createDataFrame([(None, None, "<p>x</p>", 1, "n"), (2, "u", "<p>y</p>", 1, "n")], "page_id long, url string, html string, n_chars int, text string")
+    assert sorted((x.text, x.n_chars) for x in html_extract.extracted(frame).collect()) == [("x", 1), ("y", 1)]
+
+
 @pytest.mark.parametrize("chunk", [10**6, 5])
 def test_token_counts(odd, real, chunk):
     texts = odd + texts_of(real("documents"))[:60]
