@@ -96,7 +96,8 @@ def test_page_ratio_decides(monkeypatch):
     pages = [(links(rng.integers(3, 12)) + "<div><h2>T</h2>" + f"<p>{SKIPPED}</p>" * n + "</div>" + links(rng.integers(3, 12)), n) for n in range(1, 12)]
     right = lambda: sum(html_extract.main_text(p).split("\n") == ["T", *[SKIPPED.strip()] * n] for p, n in pages)
     assert right() == len(pages)
-    monkeypatch.setattr(html_extract, "smoothed", lambda ratio: rng.random(len(ratio)) * 100)
+    real = html_extract.clusters
+    monkeypatch.setattr(html_extract, "clusters", lambda ratio, part: real(rng.random(len(ratio)) * 100, part))
     assert right() < 3
 
 
