@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,9 +69,9 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 def map_slices(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType, text: str = "text") -> DataFrame:
     """Applies step to bounded row ranges of df, given and returned as lists by column.
 
-    step runs in the Python workers, on Arrow batches; every row reaches it whole.
+    step runs in the Python workers, on Arrow batches, whose bytes Spark bounds
+    (spark.sql.execution.arrow.maxBytesPerBatch); every row reaches it whole.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     target = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +103,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+#: What is stored and not yet forgotten: path -> (its file system, the JVM's path).
+_stored: dict[str, tuple] = {}
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted at the driver's end if forget() hasn't done so."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not _stored:
+        atexit.register(_sweep)
+    _stored[path] = (at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back; this cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for frames, once nothing reads it any more."""
+    for x in frames:
+        files, at = _stored.pop(x.stored_path)
+        files.delete(at, True)
+
+
+def _sweep() -> None:
+    """Deletes what lazy results still read when the driver ended; a driver that is gone already leaves it."""
+    with contextlib.suppress(Exception):
+        for files, at in _stored.values():
+            files.delete(at, True)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

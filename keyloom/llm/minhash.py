@@ -52,6 +52,11 @@ def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
     return np.unique(out)
 
 
+def set_name(items: np.ndarray) -> list[int]:
+    """A 128-bit name of a set, as two integers."""
+    return np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist()
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """One row of band keys for each set (none may be empty)."""
     flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
@@ -72,7 +77,7 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
 
     def step(rows: dict) -> dict:
         sets = [shingle_set(x, words) for x in rows["text"]]
-        names = [np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64).tolist() for x in sets]
+        names = [set_name(x) for x in sets]
         full, bands = [i for i, x in enumerate(sets) if len(x)], [None] * len(sets)
         if full:
             for i, k in zip(full, band_keys([sets[i] for i in full]).view(np.int64), strict=True):
@@ -83,21 +88,29 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """rep, items: the full sets of the documents named in ids (one row for each id)."""
+    """rep, items: the full sets named in ids (rep, k1, k2), one row for each rep."""
 
     def step(rows: dict) -> dict:
-        return {"rep": rows["doc_id"], "items": [shingle_set(x, words).view(np.int64) for x in rows["text"]]}
+        sets = [shingle_set(x, words) for x in rows["text"]]
+        names = [set_name(x) for x in sets]
+        return {"rep": rows["doc_id"], "k1": [x[0] for x in names], "k2": [x[1] for x in names], "items": [x.view(np.int64) for x in sets]}
 
-    wanted = docs.select("doc_id", "text").join(bounded(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    return map_slices(wanted, step, "rep long, items array<long>")
+    ids = bounded(ids)
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    found = map_slices(wanted, step, "rep long, k1 long, k2 long, items array<long>")
+    return found.join(ids, ["rep", "k1", "k2"], "left_semi").select("rep", "items").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
+    """Those of pairs (a, b) whose full sets are similar enough; an `a` of many pairs is spread over blocks of them."""
+    large = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "large")
+    salted = pairs.join(bounded(large), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("salt"))
     a, b = (sets.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1)
+    a = a.join(pairs.select("a").distinct(), "a", "left_semi").join(bounded(large), "a", "left").select("a", "items_a", F.explode(every).alias("salt"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - both
-    return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * union).select("a", "b")
+    return salted.join(b, "b").join(a, ["a", "salt"]).where(100 * both >= percent * union).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,14 +142,16 @@ def _across(shared: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     blocks, so that a large group is spread over many tasks.
     """
     comp = F.coalesce("comp", "rep").alias("comp")
-    labelled = shared.select("hub", "rep").distinct().join(comps, "rep", "left").select("hub", "rep", comp)
-    mixed = labelled.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("comp"))).alias("main"), F.count("*").alias("size")).where("low < high")
-    rest = labelled.join(mixed, "hub").select("hub", "rep", "comp", (F.col("comp") != F.col("main")).alias("query"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = stored(rest, "rest")
+    labelled = stored(shared.select("hub", "rep").join(comps, "rep", "left").select("hub", "rep", comp), "labelled")
+    mixed = labelled.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("comp"))).alias("main"), F.count("*").alias("size"))
+    # Written first: what stands on either side of the join is then a plain scan, which can be broadcast or split by size.
+    mixed = stored(mixed.where("low < high").select("hub", "main", F.ceil(F.col("size") / BLOCK).alias("blocks")), "mixed")
+    rest = stored(labelled.join(bounded(mixed), "hub").select("hub", "rep", "comp", (F.col("comp") != F.col("main")).alias("query"), "blocks"), "rest")
+    forget(labelled, mixed)
     own = F.pmod(F.xxhash64("rep"), "blocks")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    asked = rest.where("query").select("hub", own.alias("qb")).distinct()
-    members = rest.withColumn("mb", own).join(asked, "hub").withColumn("as_query", F.lit(False))
+    asked = stored(rest.where("query").select("hub", own.alias("qb")).distinct(), "asked")
+    members = rest.withColumn("mb", own).join(bounded(asked), "hub").withColumn("as_query", F.lit(False))
     queries = rest.where("query").select("*", every.alias("mb")).withColumn("qb", own).withColumn("as_query", F.lit(True))
     cells = members.unionByName(queries).join(sets, "rep").select("hub", "qb", "mb", "rep", "comp", "query", "as_query", "items")
     cells = cells.repartition("hub", "qb", "mb").sortWithinPartitions("hub", "qb", "mb")
@@ -194,10 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2) -> DataF
     named = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "reps")
     buckets = reps.select("rep", "n", F.explode("bands").alias("h"))
-    hubs = buckets.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("h", "hub")
-    shared = stored(buckets.join(hubs, "h").select("h", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    sets = stored(_sets(docs, stored(shared.select("rep").distinct(), "ids"), words).dropDuplicates(["rep"]), "sets")
-    stars = shared.where("rep <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = stored(buckets.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("h", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    shared = stored(buckets.join(hubs, "h").select("hub", "hub_n", "rep", "n").distinct(), "buckets")
+    ids = stored(reps.select("rep", "k1", "k2").join(bounded(stored(shared.select("rep").distinct(), "ids")), "rep", "left_semi"), "ids")
+    sets = stored(_sets(docs, ids, words), "sets")
+    stars = shared.where("rep <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     edges = stored(_confirmed(stars, sets, percent), "links")
     comps = components(edges)
     more = stored(_across(shared, comps, sets, percent), "links")
@@ -207,8 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2) -> DataF
     classes = reps.select("k1", "k2", "rep").join(comps, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     named = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     out = stored(signed.drop("bands").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), named).alias("component_id")), "classes")
-    for x in (signed, shared, sets, edges, comps, more):
-        forget(x)
+    forget(signed, reps, hubs, shared, ids, sets, edges, comps, more)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
