@@ -6,17 +6,21 @@ each transition carries the change in the number of tokens (joining a token
 makes it negative). Its states are what the past can still decide: for every
 suffix that may begin a token, the token before it and the count there. States
 are finite and compiled when first reached, so that a worker's tables hold what
-its texts need. All pre-tokens of a slice run in parallel, byte by byte.
+its texts need.
 
-A long text is cut into chunks. A chunk's first and last synchronising boundary
-(white space after something else) split it into an open head, closed stretches
-and an open tail, kept as text; one pass joins tails to the heads behind them, and
-counting follows on the stretches. No maps from state to state and count are
-composed. A text without such boundaries stays whole in one step.
+Texts are read in chunks of CHUNK bytes, all chunks of all texts of a slice in
+parallel. What a chunk does is a map from the state it is entered in to the state
+it is left in and the tokens counted: up to its first pre-token this depends on the
+entry and is tabulated for the entries that can occur; behind it, it does not. The
+maps compose, and a parallel prefix scan (rounds that double the reach) gives the
+state and the count at every chunk's end. Chunks may end anywhere, within a
+pre-token or a character too.
 
 Counts equal those of the tokenizers library for the file, with special strings
-inside texts taken as special tokens. Defined results: null and empty text have
-no tokens; repeated rows each get their result; extra columns are ignored.
+inside texts taken as special tokens. Texts of over MOST_TEXT code points are read
+in parts that end where white space follows something else, where no token goes
+across. Defined results: null and empty text have no tokens; repeated rows each
+get their result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from dataclasses import dataclass, field
+import zlib
 
 import numpy as np
 import regex
@@ -34,8 +38,10 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import map_slices
 
-#: Code points of a chunk, and states (1 KB each) that a worker's tables may hold before they are compiled anew.
-CHUNK, MOST_STATES = 1_000_000, 150_000
+#: Bytes of a chunk, code points of a text read at once, and states (1 KB each) that a worker's tables may hold before they are compiled anew.
+CHUNK, MOST_TEXT, MOST_STATES = 1 << 12, 1_000_000, 150_000
+#: Bytes before a chunk that tell the entries to tabulate for it, and the states tried there.
+BEFORE, TRIED_STATES = 48, 16
 #: Tokens with a common beginning up to which a state checks whether any can still come.
 TRIED = 40
 
@@ -64,6 +70,18 @@ def classes() -> np.ndarray:
     return _classes
 
 
+def packed_classes() -> bytes:
+    """classes() for other machines, some kilobytes."""
+    return zlib.compress(classes().tobytes())
+
+
+def use_classes(packed: bytes) -> None:
+    """Takes another machine's table, so that a worker doesn't ask for every code point again."""
+    global _classes
+    if _classes is None:
+        _classes = np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
 def boundaries(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where pre-tokens start in texts laid end to end; ends is where each (non-empty) text ends."""
     kind = classes()[points]
@@ -91,6 +109,32 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Spines(dict):
+    """token -> the pieces at one end of it while it is built, each with the rank of the merge that ends it."""
+
+    def __init__(self, parts: dict, side: int):
+        self.parts, self.side = parts, side
+
+    def __missing__(self, token: bytes) -> list[tuple[bytes, int]]:
+        out, part, end = [], token, 1 << 60
+        while True:
+            out.append((part, end))
+            if part not in self.parts:
+                break
+            end, part = self.parts[part][2], self.parts[part][self.side]
+        self[token] = out
+        return out
+
+
+class _Alone(dict):
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, token: bytes) -> bool:
+        self[token] = self.encode(token) == [token]
+        return self[token]
+
+
 class Transducer:
     """Counts BPE tokens of pre-tokens, in parallel; compiled as it reads."""
 
@@ -111,20 +155,10 @@ class Transducer:
             for i in range(1, len(t)):
                 self.open.setdefault(t[:i], []).append(t)
         parts = {a + b: (a, b, r) for (a, b), r in self.rank.items()}
-        self.left, self.right = ({t: self._spine(t, parts, side) for t in self.tokens} for side in (0, 1))
-        self.alone = {t: self.encode(t) == [t] for t in self.tokens}
+        #: The pieces at the ends of tokens, and whether tokens encode as themselves; filled when first asked for.
+        self.left, self.right, self.alone = _Spines(parts, 0), _Spines(parts, 1), _Alone(self.encode)
         self.reset()
 
-    @staticmethod
-    def _spine(token: bytes, parts: dict, side: int) -> list[tuple[bytes, int]]:
-        """The pieces at one end of a token while it is built, each with the rank of the merge that ends it."""
-        out, end = [], 1 << 60
-        while True:
-            out.append((token, end))
-            if token not in parts:
-                return out
-            end, token = parts[token][2], parts[token][side]
-
     def reset(self) -> None:
         self.names: dict[tuple, int] = {}
         self.states: list[tuple] = []
@@ -202,13 +236,13 @@ class Transducer:
         target = self._state((*((s, b, c - gain) for s, b, c in longer), (b"", token, 0)))
         self.next[state * 256 + byte] = target * 256 + 128 + gain
 
-    def run(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The number of tokens in each pre-token raw[start : start + size]."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
+    def run(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch raw[start : start + size], read from the entry state (the first one without): tokens counted, and state at its end."""
         order = np.argsort(-sizes, kind="stable")
         at, size = starts[order], sizes[order]
         state, count = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        if entry is not None:
+            state[:] = entry[order] << 8
         live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right") if len(size) else []
         for k, n in enumerate(live):
             now = state[:n] + raw[at[:n] + k]
@@ -219,85 +253,135 @@ class Transducer:
                 to = self.next[now]
             count[:n] += (to & 255) - 128
             state[:n] = to & ~255
-        out = np.empty(len(at), np.int64)
-        out[order] = count
-        return out
+        counts, states = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        counts[order], states[order] = count, state >> 8
+        return counts, states
 
-    def counts(self, texts: list[str]) -> np.ndarray:
+    def counts(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
         """The number of tokens in each (non-empty) text without special strings."""
         if not texts:
             return np.zeros(0, np.int64)
+        if len(self.states) > MOST_STATES:
+            self.reset()
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         raw = np.frombuffer(whole.encode(), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
-        starts = np.flatnonzero(boundaries(points, ends))
         width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        begin = place[starts]
-        tokens = self.run(raw, begin, np.diff(np.append(begin, len(raw))))
+        # Pre-tokens and chunks cut the bytes into stretches; a stretch at a chunk's begin alone is entered in a state that the chunk before leaves.
+        begins, text_at = place[np.flatnonzero(boundaries(points, ends))], place[np.concatenate([[0], ends])]
+        edges = np.concatenate([np.arange(a, b, chunk) for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)])
+        starts = np.union1d(begins, edges)
+        sizes = np.diff(starts, append=len(raw))
+        closed = np.isin(starts, begins, assume_unique=True)
+        tokens, states = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        tokens[closed], states[closed] = self.run(raw, starts[closed], sizes[closed])
+        tokens[~closed] = self._chained(raw, starts, sizes, closed, states)
         total = np.concatenate([[0], np.cumsum(tokens)])
-        cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
+        cuts = np.searchsorted(starts, text_at)
         return total[cuts[1:]] - total[cuts[:-1]]
 
-
-@dataclass
-class ChunkMap:
-    """What a stretch of text does in any state: head and tail are still open, inner holds closed stretches."""
-
-    head: str
-    inner: list[str] = field(default_factory=list)
-    tail: str | None = None
-
-    def then(self, other: ChunkMap) -> ChunkMap:
-        if self.tail is None:
-            return ChunkMap(self.head + other.head, other.inner, other.tail)
-        if other.tail is None:
-            return ChunkMap(self.head, self.inner, self.tail + other.head)
-        return ChunkMap(self.head, [*self.inner, self.tail + other.head, *other.inner], other.tail)
-
-
-def chunk_map(text: str) -> ChunkMap:
-    kind = classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)] >= _BLANK
-    sync = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
-    if not len(sync):
-        return ChunkMap(text)
-    a, b = int(sync[0]), int(sync[-1])
-    return ChunkMap(text[:a], [text[a:b]] if a < b else [], text[b:])
-
-
-def scan(maps: list[ChunkMap]) -> ChunkMap:
-    """The composition of all maps, by rounds of pairs."""
-    while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
-
-
-def stretches(text: str, chunk: int = CHUNK) -> list[str]:
-    """Stretches of a text that can be counted apart."""
-    if len(text) <= chunk:
-        return [text] if text else []
-    whole = scan([chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-    return [x for x in (whole.head, *whole.inner, whole.tail or "") if x]
+    def _chained(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, closed: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The tokens of the stretches that are entered within a pre-token, by the maps of their chunks."""
+        open_at = np.flatnonzero(~closed)
+        if not len(open_at):
+            return np.empty(0, np.int64)
+        first = closed[open_at - 1]
+        entries, of = [states[open_at[first] - 1]], [np.flatnonzero(first)]
+        if not first.all():
+            # Whole chunks within a pre-token: what is read before a chunk from a few states tells the entries that can occur.
+            later = np.flatnonzero(~first)
+            near = np.minimum(BEFORE, sizes[open_at[later] - 1])
+            tried = np.unique(np.concatenate([[0], np.unique(states[closed])[:TRIED_STATES]]))
+            lane = np.repeat(later, len(tried))
+            _, left = self.run(raw, starts[open_at[lane]] - np.repeat(near, len(tried)), np.repeat(near, len(tried)), np.tile(tried, len(later)))
+            pairs = np.unique(np.stack([lane, left], axis=1), axis=0)
+            entries.append(pairs[:, 1])
+            of.append(pairs[:, 0])
+        entries, of = np.concatenate(entries), np.concatenate(of)
+        counts, exits = self.run(raw, starts[open_at[of]], sizes[open_at[of]], entries)
+        maps = [ChunkMap(self, raw, int(starts[i]), int(sizes[i])) for i in open_at.tolist()]
+        for i, s, to, n in zip(of.tolist(), entries.tolist(), exits.tolist(), counts.tolist(), strict=True):
+            maps[i].known[s] = (to, n)
+        out, heads = np.empty(len(open_at), np.int64), np.append(np.flatnonzero(first), len(open_at)).tolist()
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            entry = int(states[open_at[a] - 1])
+            out[a:b] = np.diff([0, *(m(entry)[1] for m in (scan(maps[a:b]) if b - a > 1 else maps[a:b]))])
+        return out
 
 
-def count_tokens(machine: Transducer, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
-    parts, of, extra = [], [], np.zeros(len(texts), np.int64)
+class ChunkMap:
+    """Entry state -> (state at the end, tokens counted) of some bytes, for the entries known; others are added when asked for."""
+
+    def __init__(self, machine: Transducer, raw: np.ndarray, start: int, size: int):
+        self.machine, self.raw, self.start, self.size = machine, raw, start, size
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        if entry not in self.known:
+            n, to = self.machine.run(self.raw, np.array([self.start]), np.array([self.size]), np.array([entry]))
+            self.known[entry] = (int(to[0]), int(n[0]))
+        return self.known[entry]
+
+
+class Composed:
+    """A map and the one behind it, as one map."""
+
+    def __init__(self, one, two):
+        self.one, self.two, self.known = one, two, {}
+        for entry, (to, n) in one.known.items():
+            if to in two.known:
+                end, more = two.known[to]
+                self.known[entry] = (end, n + more)
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        if entry not in self.known:
+            to, n = self.one(entry)
+            end, more = self.two(to)
+            self.known[entry] = (end, n + more)
+        return self.known[entry]
+
+
+def scan(maps: list) -> list:
+    """The composition of all maps up to each, by rounds that double the reach; within a round all are independent."""
+    reach = 1
+    while reach < len(maps):
+        maps = [Composed(maps[i - reach], m) if i >= reach else m for i, m in enumerate(maps)]
+        reach *= 2
+    return maps
+
+
+def parts(text: str, most: int = MOST_TEXT) -> list[str]:
+    """A text in parts of about `most` code points that can be counted apart; the whole if it has no such places."""
+    out, begin, at = [], 0, most
+    while at < len(text):
+        kind = classes()[np.frombuffer(text[at - 1 : at - 1 + most].encode("utf-32-le"), np.uint32)] >= _BLANK
+        found = np.flatnonzero(kind[1:] & ~kind[:-1])
+        if len(found):
+            out.append(text[begin : at + int(found[0])])
+            begin = at + int(found[0])
+            at = begin
+        at += most
+    return [*out, text[begin:]] if text else out
+
+
+def count_tokens(machine: Transducer, texts: list[str | None], chunk: int = CHUNK, most: int = MOST_TEXT) -> np.ndarray:
+    pieces, of, out = [], [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         segments = [text or ""]
         for s in machine.special:
             if s in (text or ""):
                 segments = [y for x in segments for y in x.split(s)]
-        extra[i] = len(segments) - 1
+        out[i] = len(segments) - 1
         for x in segments:
-            for y in stretches(x, chunk):
-                parts.append(y)
+            for y in parts(x, most):
+                pieces.append(y)
                 of.append(i)
-    out, begin, held = extra, 0, 0
-    of = np.array(of, np.int64)
-    for j, x in enumerate([*parts, None]):
-        if j > begin and (x is None or held + len(x) > 2 * CHUNK):
-            np.add.at(out, of[begin:j], machine.counts(parts[begin:j]))
+    of, begin, held = np.array(of, np.int64), 0, 0
+    for j, x in enumerate([*pieces, None]):
+        if j > begin and (x is None or held + len(x) > 2 * most):
+            np.add.at(out, of[begin:j], machine.counts(pieces[begin:j], chunk))
             begin, held = j, 0
         held += len(x or "")
     return out
@@ -315,13 +399,14 @@ def machine_of(path: str) -> Transducer:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text)."""
 
+    packed = packed_classes()
+
     def step(rows: dict) -> dict:
-        n = count_tokens(machine_of(path or default_path()), rows["text"])
-        return {"doc_id": rows["doc_id"], "n_tokens": n}
+        use_classes(packed)
+        return {"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": count_tokens(machine_of(path or default_path()), rows["text"])}
 
     size = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    both = lambda r: step(r) | {"n_bytes": r["n_bytes"]}
-    return map_slices(size, both, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_slices(size, step, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:

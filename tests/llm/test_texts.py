@@ -119,13 +119,33 @@ def test_page_columns(spark):
     assert sorted((x.text, x.n_chars) for x in html_extract.extracted(frame).collect()) == [("x", 1), ("y", 1)]
 
 
-@pytest.mark.parametrize("chunk", [10**6, 5])
-def test_token_counts(odd, real, chunk):
-    texts = odd + texts_of(real("documents"))[:60]
-    got = token_counts.count_tokens(token_counts.machine_of(token_counts.default_path()), texts, chunk)
+@pytest.mark.parametrize("chunk,most", [(token_counts.CHUNK, 10**6), (5, 10**6), (1, 40), (64, 7)])
+def test_token_counts(odd, real, chunk, most):
+    rng = np.random.default_rng(6)
+    long = ["".join(rng.choice(list("abcdeé日🙂"), 3000)), "ab" * 4000, "".join(map(chr, rng.integers(0x3040, 0x30FF, 2000))), "=" * 3000, " " * 3000, "1" * 999 + "it's"]
+    texts = odd + long + texts_of(real("documents"))[:40]
+    got = token_counts.count_tokens(token_counts.machine_of(token_counts.default_path()), texts, chunk, most)
     assert got.tolist() == [len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
+def test_chunk_maps_compose():
+    """The scan's maps give state and count at every chunk's end, whatever the entries tabulated before."""
+    machine, rng = token_counts.machine_of(token_counts.default_path()), np.random.default_rng(2)
+    raw = np.frombuffer(("international" * 40 + "zq" * 50).encode(), np.uint8)
+    cuts = np.sort(rng.choice(np.arange(1, len(raw)), 12, replace=False))
+    starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(raw)]]))
+    for tabulated in ([], [0], range(5)):
+        maps = [token_counts.ChunkMap(machine, raw, int(a), int(n)) for a, n in zip(starts, sizes, strict=True)]
+        for m in maps:
+            for s in tabulated:
+                m(s)
+        ends = [m(0) for m in token_counts.scan(maps)]
+        for (state, n), end in zip(ends, starts + sizes, strict=True):
+            count, at = machine.run(raw, np.array([0]), np.array([end]))
+            assert (state, n) == (at[0], count[0])
+            assert n == len(machine.encode(raw[:end].tobytes()))
+
+
 def test_token_count_rows(spark, docs, odd):
     got = sorted(map(tuple, token_counts.token_counts(docs([*odd, (None, "é")]), limit=3).collect()), key=str)
     n = lambda t: len(LIBRARY.encode(t or "", add_special_tokens=False).ids)
