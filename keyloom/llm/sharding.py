@@ -8,12 +8,17 @@ exchanged, and each shard is permuted again. Ranks are taken within partitions,
 and within fine buckets of a shard, whose number follows the row count, so that
 no shard passes through one task.
 
+Each row has a number of its own from the first pass, which is written out before
+anything is dealt; so rows that are equal are dealt apart like any others, and a
+task that runs again finds the same numbers.
+
 Only the partitions' counts (at most MOST_PARTS) reach the driver, and only the
 matrix (at most MOST_PARTS rows) and the buckets' offsets go back.
 
 Defined results: null text has no bytes; rows that repeat each get a slot of
 their own; null doc_ids are dealt like others; an empty table gives no rows;
-extra columns are ignored.
+sharded() ignores extra columns; write_shards() keeps them, and a column named
+`shard` or `slot` gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 #: Rows that a logical partition, or a bucket of a shard, holds on average while there are fewer than MOST_PARTS.
 PART_ROWS, MOST_PARTS = 500, 4096
@@ -75,13 +80,20 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def _key(seed: int, salt: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.lit(salt), "doc_id", "text_crc32", "size")
+    return F.xxhash64(F.lit(seed), F.lit(salt), "_row", "doc_id", "text_crc32", "size")
 
 
-def sharded(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text); law `rows`."""
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """_row, doc_id, size and text_crc32 of every row, written out."""
     text = F.coalesce("text", F.lit(""))
-    rows = stored(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "rows")
+    size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", size, crc, *more), "rows")
+
+
+def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """_row, doc_id, size, text_crc32, shard, slot of every row."""
+    names = ["_row", "doc_id", "size", "text_crc32"]
+    rows = rows.select(*names)
     total = rows.count()
     parts = min(MOST_PARTS, max(1, math.ceil(total / PART_ROWS)))
     fine = min(MOST_PARTS, max(1, math.ceil(total / shards / PART_ROWS)))
@@ -89,27 +101,38 @@ def sharded(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     counts = {x.part: x["count"] for x in dealt.groupBy("part").count().collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shard_sizes(total, shards), seed)
     ends = [{"part": p, "ends": [sum(row[: s + 1]) for s in range(shards)]} for p, row in enumerate(matrix)]
-    cuts = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<part:int,ends:array<long>>>")))
-    tie = ["doc_id", "text_crc32", "size"]
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(_key(seed, 2), *tie)) - 1
+    cuts = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<part:int,ends:array<long>>>")))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(_key(seed, 2), "_row")) - 1
     sent = dealt.withColumn("rank", rank).join(F.broadcast(cuts), "part")
     shard = F.size(F.filter("ends", lambda x: x <= F.col("rank")))
-    sent = stored(sent.select(*tie, shard.alias("shard"), F.pmod(_key(seed, 3), F.lit(fine)).cast("int").alias("bucket")), "sent")
+    sent = stored(sent.select(*names, shard.alias("shard"), F.pmod(_key(seed, 3), F.lit(fine)).cast("int").alias("bucket")), "sent")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(_key(seed, 4), *tie)) - 1
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(_key(seed, 4), "_row")) - 1
     out = sent.withColumn("rank", rank).join(F.broadcast(offsets), ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("offset") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(*names, "shard", (F.col("offset") + F.col("rank")).alias("slot"))
+
+
+def sharded(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text); law `rows`."""
+    rows = _numbered(docs)
+    out = _placed(rows, shards, seed)
+    forget(rows)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 7) -> None:
     """Writes docs (doc_id, text, ...) to path/shard=s, each file in slot order."""
-    text = F.coalesce("text", F.lit(""))
-    named = docs.select("*", (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
-    turn = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    named = named.withColumn("_turn", turn(["doc_id", "_crc", "_size"], [F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))]))
-    placed = sharded(docs, shards, seed).select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
-    placed = placed.withColumn("_t", turn(["_id", "_c", "_s"], ["shard", "slot"]))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")) & (F.col("_turn") == F.col("_t"))
-    out = named.join(placed, same).drop("_size", "_crc", "_turn", "_id", "_s", "_c", "_t")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = _numbered(docs, F.struct("*").alias("_doc"))
+    placed = _placed(rows, shards, seed).select("_row", "shard", "slot")
+    out = rows.select("_row", "_doc").join(placed, "_row")
+    names, taken = [], {"shard", "slot"}
+    for c in docs.columns:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(F.col("_doc").getField(c).alias(name))
+    out = out.select(*names, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    out.write.partitionBy("shard").parquet(path)
+    forget(rows)

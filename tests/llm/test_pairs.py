@@ -124,6 +124,30 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.select("doc_id", "text").exceptAll(frame.select("doc_id", "text")).count() == 0
 
 
+def test_written_shards_keep_clashing_columns(spark, docs, tmp_path):
+    clash = docs([(i % 3, "same") for i in range(40)] + [(None, None)] * 9).selectExpr("*", "'x' as shard", "1 as slot", "2 as _row", "3 as size", "4 as rank", "5 as _doc", "6 as text_crc32")
+    sharding.write_shards(clash, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns[5:] == ["shard_", "slot_", "_row", "size", "rank", "_doc", "text_crc32", "slot", "shard"]
+    assert back.count() == 49 and back.select("shard_", "_doc", "text_crc32").distinct().collect() == [("x", 5, 6)]
+    assert back.groupBy("shard").agg(F.max("slot"), F.count_distinct("slot"), F.count("*")).where("`max(slot)` + 1 <> `count(1)`").count() == 0
+    assert sharding.sharded(clash).count() == 49
+
+
+def test_shards_are_uniform(spark, docs):
+    """Equal rows are dealt like others: their numbers by shard, and by tenth of a shard, vary as in a uniform shuffle."""
+    frame = docs([(None, "equal")] * 6000 + [(i, f"text {i}") for i in range(6000)])
+    for seed in (1, 2):
+        got = sharding.sharded(frame, 24, seed)
+        equal = F.col("doc_id").isNull()
+        by_shard = [x.n for x in got.where(equal).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+        by_tenth = [x.n for x in got.where(equal).groupBy((F.col("slot") / 50).cast("int")).agg(F.count("*").alias("n")).collect()]
+        # Hypergeometric cells of 500 (1200) places: mean 250 (600), variance about half the mean.
+        for cells, mean, factor in ((by_shard, 250, 0.5), (by_tenth, 600, 0.5)):
+            chi = sum((x - mean) ** 2 / (mean * factor) for x in cells)
+            assert len(cells) == 6000 // mean and 0.25 * len(cells) < chi < 2.2 * len(cells)
+
+
 def test_filters_judge_rows(spark, docs):
     rng = np.random.default_rng(3)
     some = lambda: " ".join(f"w{k}" for k in rng.integers(0, 10**6, 40))
