@@ -7,9 +7,8 @@ documents are selected. Features are the presence of words, of their first 4
 and 5 bytes, and of binned measures of style, hashed to 2^18 buckets.
 
 The model is fitted on the driver on at most SAMPLE labelled documents, those
-with the least keyed hash of their id, of which equal feature sets count once;
-every document is scored, on its whole
-text. Defined results: null or empty text has style features only; labels with
+with the least keyed hash of their id, one row for each id and equal feature sets
+once; every document is scored, on its whole text. Defined results: null or empty text has style features only; labels with
 nulls, or without document, are ignored; of repeated labels of a document the
 worst grade holds; without labels nothing is rejected; extra columns are
 ignored.
@@ -87,6 +86,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = 3, l1: float
     flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size)
     names = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
     flat = np.searchsorted(names, flat).astype(np.int32)
+    # The same entries by feature: sums over runs are quicker than over scattered places.
+    by_name = of[np.argsort(flat, kind="stable")]
+    name_at = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names)))[:-1]])
+    some = np.flatnonzero(size)
+    row_at = (np.cumsum(size) - size)[some]
     w, gap = np.zeros(len(names)), np.zeros(grades_n - 1)
     told = evidence(flat, of, grades, grades_n, len(names))
     m, v, gm, gv = (np.zeros_like(x) for x in (w, w, gap, gap))
@@ -95,13 +99,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = 3, l1: float
     gap[0], gap[1:] = start[0], np.log(np.maximum(np.diff(start), 0.1))
     for t in range(1, steps + 1):
         cuts = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
-        f = np.bincount(of, w[flat], minlength=len(rows))
+        f = np.zeros(len(rows))
+        f[some] = np.add.reduceat(w[flat], row_at) if len(flat) else 0
         low = 1 / (1 + np.exp(-np.clip(np.concatenate([[-np.inf], cuts])[grades] - f, -50, 50)))
         high = 1 / (1 + np.exp(-np.clip(np.concatenate([cuts, [np.inf]])[grades] - f, -50, 50)))
         low, high = np.where(grades == 0, 0, low), np.where(grades == grades_n - 1, 1, high)
         p = np.maximum(high - low, 1e-12)
         dh, dl = high * (1 - high) / p, low * (1 - low) / p
-        dw = np.bincount(flat, ((dh - dl) / len(rows))[of], minlength=len(names))
+        dw = np.add.reduceat(((dh - dl) / len(rows))[by_name], name_at) if len(names) else np.zeros(0)
         dc = np.array([-(dh[grades == k].sum() - dl[grades == k + 1].sum()) / len(rows) for k in range(grades_n - 1)])
         dg = np.array([dc.sum(), *(dc[k:].sum() * np.exp(gap[k]) for k in range(1, grades_n - 1))])
         for x, d, a, b, pace in ((w, dw, m, v, rate * told), (gap, dg, gm, gv, rate)):
@@ -126,6 +131,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, skip: int = 0, seed:
     order = F.xxhash64("doc_id", F.lit(seed))
     picked = stored(graded(labels).orderBy(order, "doc_id").limit(skip + rows), "sample").orderBy(order, "doc_id").offset(skip)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # One row for each document, so that repeated ids don't make the sample larger.
+    found = found.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
     step = lambda r: {"doc_id": r["doc_id"], "grade": r["grade"], "f": [features(x) for x in r["text"]]}
     got = map_slices(found, step, "doc_id long, grade int, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
     return [x.values.to_numpy() for x in got["f"]], got["grade"].to_numpy()
