@@ -151,8 +151,11 @@ def judged(docs: DataFrame) -> DataFrame:
     good = found.where(~failed)
     usual = stored(good.groupBy("lang").agg(*both), "references").where((F.col("held") >= MIN_REFERENCE) & (F.col("lang") != ""))
     every = usual.agg(F.array(*(F.coalesce(F.sum(F.col("usual_classes")[i]), F.lit(0)) for i in range(CLASSES))).alias("all_classes"))
-    out = found.join(bounded(usual, 10_000), "lang", "left").join(F.broadcast(every))
-    out = out.withColumn("usual_classes", F.coalesce("usual_classes", "all_classes"))
+    # One row, found under a key of its own by those without a reference.
+    every = every.select("all_classes", F.lit(True).alias("none"))
+    out = found.join(bounded(usual, 10_000), "lang", "left").withColumn("without", F.col("usual_classes").isNull())
+    out = out.join(F.broadcast(every), F.col("without") == F.col("none"), "left")
+    out = out.withColumn("usual_classes", F.coalesce("usual_classes", "all_classes", F.array_repeat(F.lit(0).cast("long"), CLASSES)))
     out = out.withColumn("usual_common", F.coalesce("usual_common", F.array_repeat(F.lit(0).cast("long"), len(_COMMON))))
     out = _compared(out.select(*(c for c in found.columns), "usual_classes", "usual_common"))
     allowed = PAIR_COMMON + F.sqrt(SCATTER / F.greatest(F.col("n_words"), F.lit(1)))
