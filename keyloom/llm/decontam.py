@@ -79,7 +79,7 @@ class Index:
         fp.sort()
         self.words = np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
         self.hash = np.array([x[0] for x in fp], np.uint64)
-        self.item, self.pos = [x[1] for x in fp], [x[2] for x in fp]
+        self.item, self.pos = (np.array([x[k] for x in fp], np.int64) for k in (1, 2))
         self.short = {n: (np.array(sorted(x), np.uint64), x) for n, x in self.short.items()}
 
     def hits(self, h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, str]]:
@@ -100,8 +100,7 @@ class Index:
             for p, i, j in zip(picked.tolist(), first.tolist(), last.tolist(), strict=True):
                 d = int(doc[p])
                 low, high = int(ends[d - 1]) if d else 0, int(ends[d])
-                for k in range(i, j):
-                    item, q = self.item[k], self.pos[k]
+                for item, q in zip(self.item[i:j].tolist(), self.pos[i:j].tolist(), strict=True):
                     if covered.get((item, p - q), -1) > p:
                         continue
                     n = min(p - low, q - self.starts[item])
