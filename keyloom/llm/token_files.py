@@ -20,7 +20,6 @@ columns are ignored.
 from __future__ import annotations
 
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_slices, mix64, shared_dir, slices, to_arrow
-from .token_counts import boundaries, default_path
+from .common import fresh_path, map_slices, mix64, slices, to_arrow
+from .token_counts import boundaries, default_path, packed_classes, use_classes
 
 BLOCK = 128
 #: Ids and bits of a word by selector; selector 0 is unused, 1 marks an escape.
@@ -336,10 +335,10 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
     """Writes the ids of docs (doc_id, text), each text followed by end_id, to the folder `to`."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    target = to_arrow(FILE_SCHEMA)
+    target, packed = to_arrow(FILE_SCHEMA), packed_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_classes(packed)
         shard, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
@@ -349,10 +348,12 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
                 ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                packed = pack(ids, n)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([shard] * len(n), part["doc_id"], starts, n, packed), target, strict=True)], schema=target)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([shard] * len(n), part["doc_id"], starts, n, pack(ids, n)), target, strict=True)], schema=target)
 
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # Equal and null ids follow each other by their place in the input, so that none of them fills a task.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_row")]
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    sorted_docs = numbered.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     sorted_docs.mapInArrow(run, FILE_SCHEMA).write.option("compression", "zstd").parquet(to)
 
 
@@ -384,6 +385,6 @@ def _decoded(spark: SparkSession, path: str, made, column: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
     """Writes docs to the shared folder and returns the digests read back."""
-    to = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    to = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, to, path, end_id)
     return token_digests(docs.sparkSession, to)
