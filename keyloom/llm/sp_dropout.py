@@ -9,6 +9,9 @@ candidate. So each occurrence of a word has a draw of its own, and the same seed
 gives the same ids on any machine. What a worker remembers is the segmentation of
 a word for each set of spans that are passed over, which settles it.
 
+Words of over BESIDE symbols are merged one by one by a heap of candidates, so that
+their cost grows as n log n.
+
 Characters without a piece, and the piece mark itself where a text contains it,
 become byte pieces. Decoding gives every text back exactly; without dropout the
 ids are those of the sentencepiece library (but for texts with the piece mark).
@@ -20,19 +23,22 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from itertools import pairwise
 
 import numpy as np
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import M1, M2, map_slices, mix64
+from .common import M1, M2, M3, map_slices, mix64
 from .token_counts import default_path
 from .token_files import _ODD, _ODD_INVERSE, Pieces, _powers, _runs
 
-#: Segmentations that a worker remembers, their symbols, and the symbols of the longest word remembered.
-MEMO, MEMO_SYMBOLS, SHORT = 300_000, 8_000_000, 64
+#: Segmentations that a worker remembers, their symbols, the symbols of the longest word remembered, and of the longest merged beside others.
+MEMO, MEMO_SYMBOLS, SHORT, BESIDE = 300_000, 8_000_000, 64, 256
+_U64 = (1 << 64) - 1
 _MARK, _LITERAL = 0x2581, 0x110000
 _NONE = np.int32(1 << 30)
 
@@ -113,11 +119,10 @@ class Segmenter:
         """Whether the keyed hash passes over each span."""
         return mix64(salted + ((start << np.uint64(32)) + end)) <= self.rate
 
-    def _possible(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _possible(self, flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every span of each word that spells a piece made by merging, as start * 256 + end, and how many each has."""
-        size = np.array([len(x) for x in words])
-        flat, ends = np.concatenate(words), np.cumsum(size)
-        of = np.repeat(np.arange(len(words)), size)
+        flat, ends = flat[_runs(starts, size)], np.cumsum(size)
+        of = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(flat)) - (ends - size)[of]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + M1) * self.powers[place])])
         at, found, codes = np.arange(len(flat)), [], []
@@ -130,7 +135,7 @@ class Segmenter:
             found.append(of[hit])
             codes.append(place[hit] * 256 + place[hit] + n)
         found, codes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, codes))
-        return codes[np.argsort(found, kind="stable")], np.bincount(found, minlength=len(words))
+        return codes[np.argsort(found, kind="stable")], np.bincount(found, minlength=len(size))
 
     def _outcomes(self, word: np.ndarray, own: np.ndarray, flat: np.ndarray, starts: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """A key of each word with the spans passed over in it; of a long word, its own key."""
@@ -144,8 +149,7 @@ class Segmenter:
         if len(new := np.flatnonzero(entry < 0)):
             fresh, once = np.unique(word[short[new]], return_index=True)
             at = short[new[once]]
-            words = [flat[a : a + c] for a, c in zip(starts[at].tolist(), chars[at].tolist(), strict=True)]
-            codes, n = self._possible(words)
+            codes, n = self._possible(flat, starts[at], chars[at])
             self.spans.add(fresh, np.empty(0, np.uint32), np.zeros(len(fresh), np.int64), codes.astype(np.uint32), n)
             entry[new] = self.spans.find(word[short[new]])
         n = self.spans.at["n_ids"][entry]
@@ -161,28 +165,29 @@ class Segmenter:
             key[short[part]] = mix64(word[short[part]] + (sums[cuts[1:]] - sums[cuts[:-1]]))
         return key
 
-    def merge(self, words: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
-        """The ids of each word, given as symbols; keys name word and occurrence."""
-        out: list = [None] * len(words)
-        size = np.array([len(x) for x in words])
-        for low, high in pairwise([0, 4, 6, 8, 10, 12, *(1 << i for i in range(4, 42))]):
+    def merge(self, flat: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words flat[start : start + size], given as symbols, and how many each has; keys name word and occurrence."""
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for low, high in pairwise([0, 4, 6, 8, 10, 12, *(1 << i for i in range(4, BESIDE.bit_length()))]):
             group = np.flatnonzero((size > low) & (size <= high))
             # A group's square holds at most some millions of symbols.
             step = max(1, 2_000_000 // high)
             for i in range(0, len(group), step):
-                if len(group[i : i + step]):
-                    self._square(words, keys, group[i : i + step], out)
-            if high >= size.max(initial=0):
-                break
-        return out
-
-    def _square(self, words: list, keys: np.ndarray, group: np.ndarray, out: list) -> None:
-        n = np.array([len(words[i]) for i in group])
-        wide = int(n.max())
+                self._square(flat, starts, size, keys, group[i : i + step], made)
+        for i in np.flatnonzero(size > BESIDE).tolist():
+            ids = self._long(flat[starts[i] : starts[i] + size[i]], int(keys[i]))
+            made.append((np.array([i]), ids, np.array([len(ids)])))
+        owner, ids, n = (np.concatenate([x[k] for x in made]) for k in range(3))
+        order, at = np.argsort(owner), np.cumsum(n) - n
+        return ids[_runs(at[order], n[order])], n[order]
+
+    def _square(self, flat: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: np.ndarray, group: np.ndarray, made: list) -> None:
+        """Merges words of like size, a step of each at once."""
+        n, key = size[group], keys[group]
+        wide = int(n.max(initial=0))
         sym = np.full((len(group), wide + 1), -1, np.int32)
-        sym[:, :wide][np.arange(wide) < n[:, None]] = np.concatenate([words[i] for i in group])
-        start = np.minimum(np.broadcast_to(np.arange(wide + 2), (len(group), wide + 2)), n[:, None]).astype(np.int32)
-        key = keys[group]
+        sym[:, :wide][np.arange(wide) < n[:, None]] = flat[_runs(starts[group], n)]
+        start = np.minimum(np.arange(wide + 2), n[:, None]).astype(np.int32)
         rank = np.full((len(group), wide + 1), _NONE, np.int32)
         r, p = np.nonzero(sym[:, 1:] >= 0)
         rank[r, p] = self._candidates(key[r], sym[r, p], sym[r, p + 1], start[r, p], start[r, p + 2])
@@ -190,13 +195,12 @@ class Segmenter:
             p = rank.argmin(axis=1)
             best = rank[np.arange(len(group)), p]
             done = best == _NONE
-            for k in np.flatnonzero(done).tolist():
-                row = sym[k]
-                out[group[k]] = row[: int(n[k])].copy()
-            go = ~done
-            if not go.any():
-                return
             if done.any():
+                rest = sym[done]
+                made.append((group[done], rest[np.arange(rest.shape[1]) < n[done][:, None]], n[done]))
+                go = ~done
+                if not go.any():
+                    return
                 group, sym, start, rank, key, n, p, best = (x[go] for x in (group, sym, start, rank, key, n, p, best))
             rows = np.arange(len(group))
             n = n - 1
@@ -209,6 +213,46 @@ class Segmenter:
             q = p[b] - 1
             rank[b, q] = self._candidates(key[b], sym[b, q], sym[b, q + 1], start[b, q], start[b, q + 2])
 
+    def _long(self, word: np.ndarray, key: int) -> np.ndarray:
+        """Merges one long word by an agenda: a heap of candidates, of which those that a merge has overtaken are passed by."""
+        n, sym = len(word), word.tolist()
+        after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        places = np.arange(n - 1)
+        first = self._candidates(np.full(n - 1, key, np.uint64), word[:-1], word[1:], places, places + 2)
+        agenda = [(r, i, i + 1, i + 2) for i, r in enumerate(first.tolist()) if r < _NONE]
+        heapq.heapify(agenda)
+        salted = _mixed(key ^ int(self.salt))
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (r := self._rank(sym[i], sym[j])) < _NONE and not (self.rate and _mixed(salted + (i << 32) + ends[j]) <= int(self.rate)):
+                heapq.heappush(agenda, (r, i, ends[i], ends[j]))
+
+        while agenda:
+            r, i, middle, end = heapq.heappop(agenda)
+            j = after[i]
+            if sym[i] == -2 or ends[i] != middle or j >= n or ends[j] != end:
+                continue
+            sym[i], sym[j], ends[i], after[i] = int(self.of_rank[r]), -2, end, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return np.array([x for x in sym if x != -2], np.int32)
+
+    def _rank(self, left: int, right: int) -> int:
+        """_ranks() of one pair."""
+        if left < 0 or right < 0:
+            return int(_NONE)
+        key = left << 16 | right
+        at = (key * int(M1) & _U64) >> (64 - self.pair_bits)
+        while (held := int(self.pair_key[at])) >= 0:
+            if held == key:
+                return int(self.pair_rank[at])
+            at = (at + 1) & (len(self.pair_key) - 1)
+        return int(_NONE)
+
     def encode(self, texts: list[str | None], names: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; names vary the draws."""
         some = [i for i, x in enumerate(texts) if x]
@@ -248,26 +292,43 @@ class Segmenter:
             self.powers, self.inverse = _powers(_ODD, len(flat) + SHORT + 1), _powers(_ODD_INVERSE, len(flat) + SHORT + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + M1) * self.powers[: len(flat)])])
         word = mix64((sums[starts + chars] - sums[starts]) * self.inverse[starts] ^ chars.astype(np.uint64))
+        for i in np.flatnonzero(chars > BESIDE).tolist():
+            # Long words can be made so that their polynomials agree.
+            word[i] = xxhash.xxh3_64_intdigest(flat[starts[i] : starts[i] + chars[i]].tobytes())
         each = mix64(word + draw)
         key = self._outcomes(word, each, flat, starts, chars)
         if self.known.n > MEMO or self.known.used[0] > MEMO_SYMBOLS:
             self.known = Pieces()
-        entry = self.known.find(key)
-        if len(new := np.flatnonzero(entry < 0)):
-            fresh, once = np.unique(key[new], return_index=True)
-            at = new[once]
-            words = [flat[a : a + c] for a, c in zip(starts[at].tolist(), chars[at].tolist(), strict=True)]
-            made = self.merge(words, each[at])
-            self.known.add(fresh, np.concatenate(words).astype(np.uint32), chars[at], np.concatenate(made).astype(np.uint32), np.array([len(x) for x in made]))
-            entry[new] = self.known.find(key[new])
+        entry, check = self.known.find(key), np.arange(len(key))
+        while len(check):
+            if len(new := np.flatnonzero(entry < 0)):
+                fresh, once = np.unique(key[new], return_index=True)
+                pick = new[once]
+                ids, n_ids = self.merge(flat, starts[pick], chars[pick], each[pick])
+                self.known.add(fresh, flat[_runs(starts[pick], chars[pick])].astype(np.uint32), chars[pick], ids.astype(np.uint32), n_ids)
+                entry[new] = self.known.find(key[new])
+            # What met another word's key gets another key.
+            check = check[self._differs(entry[check], flat if len(check) == len(key) else flat[_runs(starts[check], chars[check])], chars[check])]
+            key[check] = mix64(key[check] ^ M2)
+            entry[check] = self.known.find(key[check])
         held = self.known.at
-        if (held["chars"][entry] != chars).any() or (self.known.points[_runs(held["text"][entry], chars)] != flat).any():
-            raise ValueError("two words share a 64-bit hash")
         n_ids = held["n_ids"][entry]
         total = np.concatenate([[0], np.cumsum(n_ids)])
         n[some] = total[first[1:]] - total[first[:-1]]
         return self.known.ids[_runs(held["ids"][entry], n_ids)], n
 
+    def _differs(self, entry: np.ndarray, flat: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Whether the words that flat holds one after another are others than those of the entries."""
+        held, out = self.known.at, self.known.at["chars"][entry] != chars
+        if out.any():
+            same, of = ~out, np.repeat(np.arange(len(chars)), chars)
+            inside = same[of]
+            differs = self.known.points[_runs(held["text"][entry[same]], chars[same])] != flat[inside]
+            out[of[inside][differs]] = True
+        elif (differs := self.known.points[_runs(held["text"][entry], chars)] != flat).any():
+            out[np.repeat(np.arange(len(chars)), chars)[differs]] = True
+        return out
+
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The text of each document, as UTF-8."""
         size = self.byte_n[ids]
@@ -278,6 +339,14 @@ class Segmenter:
         return [raw[a + 1 : b] if b > a else b"" for a, b in zip(total[ends - n].tolist(), total[ends].tolist(), strict=True)]
 
 
+def _mixed(x: int) -> int:
+    """mix64() of one value."""
+    x = (x + int(M1)) & _U64
+    x = ((x ^ (x >> 30)) * int(M2)) & _U64
+    x = ((x ^ (x >> 27)) * int(M3)) & _U64
+    return x ^ (x >> 31)
+
+
 _segmenters: dict[tuple, Segmenter] = {}
 
 
