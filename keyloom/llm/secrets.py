@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import map_slices
 from .token_counts import default_path
 
-#: A character of a value without quotes: white space ends it, and a separator that ends the text or stands before the next name.
-_BARE = r"(?:[^\s\"'<>,;&|]|[,;&|](?![\s\"'<>]|$|[A-Za-z_][\w.-]{0,40}[=:])|(?<=\w)[\"'](?=\w))"
+_NAME = r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)"
+#: A character of a value without quotes: white space and the next assignment end it, and a separator that ends the text or stands before a name.
+_BARE = r"(?:(?!" + _NAME + r"[=:])[^\s\"'<>,;&|]|[,;&|](?![\s\"'<>]|$|[A-Za-z_][\w.-]{0,40}[=:])|(?<=\w)[\"'](?=\w))"
 #: Header and base64 lines of a private key without an END line; of the base64 at least one of 16 or more characters.
 _KEY_LINES = r"(?>(?:\s|\\[rn])++[A-Z][A-Za-z-]{2,20}: (?:[^\s\\]++(?= +(?:[A-Z][A-Za-z-]{2,20}: |[A-Za-z0-9+/]{40}))|[^\n\\]*+))*+(?:(?:\s|\\[rn])++(?=[A-Za-z+/]*+\d)[A-Za-z0-9+/]{16,}+={0,2}(?![^\s\\\"'<,;.)]))++(?:(?:\s|\\[rn])++(?=[A-Za-z/]*+[0-9+=])[A-Za-z0-9+/]*+={0,2}(?![^\s\\\"'<,;.)]))?"
 #: Rules in order of preference; the group `v` is the secret.
@@ -45,7 +46,7 @@ RULES = {
     "google_key": r"\b(?P<v4>AIza[0-9A-Za-z_-]{35})",
     "stripe_key": r"\b(?P<v5>[sr]k_(?:live|test)_[0-9a-zA-Z]{16,})",
     "jwt": r"\b(?P<v6>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)",
-    "assigned": r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?(?P<v7>(?<=\")(?:[^\"\\\n]|\\.){6,}+(?=\")|(?<=')(?:[^'\\\n]|\\.){6,}+(?=')|" + _BARE + r"{6,}+)",
+    "assigned": _NAME + r"[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?(?P<v7>(?<=\")(?:[^\"\\\n]|\\.){6,}+(?=\")|(?<=')(?:[^'\\\n]|\\.){6,}+(?=')|" + _BARE + r"{6,}+)",
     "url_password": r"://[^\s:/@\"'<>]*+:(?!\d{1,5}[/?#])(?P<v8>(?:[^\s/\"<>]|/(?!/)){3,})@",
     "mixed": r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+\d)(?P<v9>[A-Za-z0-9+/_-]{24,}+={0,2})(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])",
 }
@@ -154,9 +155,12 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[Finding, int]]
     sentence = lambda: " ".join(syllables() + rng.choice(["", "", "", "", ","]) for _ in range(rng.randrange(3, 25))).capitalize() + rng.choice(["", ".", "!", "?"])
     out = []
     for _ in range(n // 2):
-        kind = rng.randrange(11)
-        lead = f"{plain()} "
-        if kind <= 2:
+        kind = rng.randrange(12)
+        # Words that speak against a secret stand near secrets too.
+        lead = f"{plain()} " + rng.choice(["", "", "see https://www.example.com/path ", "mail1.example.org of ", "the build file version ", "an image id and http "])
+        if kind == 11:
+            out.append((Finding("assigned", 0, 0, lead + name() + sign(), pick(hexa, rng.choice([32, 40, 40, 64]))), 1))
+        elif kind <= 2:
             value = rng.choice([lambda: pick(hexa, rng.choice([16, 18, 20, 32, 40, 64])), lambda: pick(alnum, rng.randrange(10, 44)), lambda: pick(alnum + "!@^-_+", rng.randrange(9, 24)), lambda: rng.choice(words).capitalize() + pick(string.digits, 3) + pick("!@^?", 1) + pick(alnum, 4)])()
             out.append((Finding("assigned", 0, 0, lead + name() + sign(), value), 1))
         elif kind == 3:
@@ -227,7 +231,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[Finding, int]]
 class Forest:
     """Bagged Gini trees on a random subset of measures at each split."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 8, least: int = 4, seed: int = 3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, least: int = 3, seed: int = 3):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.trees = []
         for _ in range(trees):
@@ -242,7 +246,7 @@ class Forest:
         if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
             return at
         best = (len(y) * share * (1 - share) - 1e-9, -1, 0.0)
-        for f in rng.choice(x.shape[1], max(2, int(x.shape[1] ** 0.5)), replace=False):
+        for f in rng.choice(x.shape[1], max(2, x.shape[1] // 3), replace=False):
             order = np.argsort(x[:, f], kind="stable")
             v, ones = x[order, f], np.cumsum(y[order])
             n = np.arange(1, len(y) + 1)

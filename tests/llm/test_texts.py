@@ -344,6 +344,15 @@ def test_private_key_ends():
         assert cut(f"{begin} of a key\n{begin}\n{body}\n{end}") == f"{begin} of a key\n[]"
 
 
+@pytest.mark.parametrize("text", ["password=" * 100_000, "a1/" * 200_000, 'password="a ' * 20_000, "://a:" * 200_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "token=" + "x7" * 200_000], ids=range(6))
+def test_secrets_hostile(text):
+    import time
+
+    judge, began = secrets.train(), time.process_time()
+    secrets._judged([text], judge, 0.5)
+    assert time.process_time() - began < 20
+
+
 def other_findings(rng):
     """Texts with a secret or a look-alike each, by another generator than the forest's: other words, contexts and formats."""
     import base64
