@@ -28,7 +28,9 @@ class GroupTooLargeError(TableError, ValueError):
 
 
 class IntegrityError(TableError, OSError):
-    """The committed index names data that the store doesn't have."""
+    """The committed index names data that the store doesn't have; `missing` lists the objects."""
+
+    missing: tuple = ()
 
 
 class LockLostError(TableError):
@@ -39,6 +41,10 @@ class OfflineError(TableError):
     """A value that isn't held locally was asked for offline."""
 
 
+class ClosedError(TableError, ValueError):
+    """The table has been closed."""
+
+
 class PushInProgressError(TableError, RuntimeError):
     """Local state can't be compacted while a push reads it."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from dataclasses import asdict, dataclass, field
 
 ENTRY = "key string, ts long, value binary"
@@ -16,10 +17,14 @@ MOST_GROUP_BYTES, RESERVED = 2**32 - 1, "__keyloom_"
 
 @dataclass(frozen=True)
 class Connection:
-    """Where a table is kept. Options (credentials, say) go to the file system and are never written out."""
+    """Where a table is kept. Options (credentials, say) go to the file system and are never written out.
+
+    A web address can only be read.
+    """
 
     path: str
     options: dict = field(default_factory=dict, compare=False, repr=False)
+    read_only: bool = False
 
     @classmethod
     def of(cls, x: Connection | dict | str) -> Connection:
@@ -31,12 +36,19 @@ class Connection:
             x = x.get("remote_conn", x)
             if not x.get("path"):
                 raise ValueError("a connection needs a path")
-            return cls(x["path"], dict(x.get("options", {})))
+            return cls(x["path"], dict(x.get("options", {})), bool(x.get("read_only", False)))
         raise TypeError(f"not a connection: {type(x).__name__}")
 
     def __post_init__(self):
-        if not self.path:
+        if not isinstance(self.path, str) or not self.path.strip("/ "):
             raise ValueError("a connection needs a path")
+        if not isinstance(self.options, dict) or not all(isinstance(k, str) for k in self.options):
+            raise TypeError("a connection's options go by names")
+        scheme = self.path.partition("://")[0].lower()
+        if scheme in ("http", "https"):
+            object.__setattr__(self, "read_only", True)
+        if scheme == "http":
+            warnings.warn("values travel in the clear over http", stacklevel=3)
 
     def public(self) -> dict:
         return {"path": self.path}
@@ -64,6 +76,18 @@ class Head:
         return cls(**x | {"manifest": {int(k): v for k, v in x["manifest"].items()}})
 
 
+@dataclass(frozen=True)
+class MissingObject:
+    """A stored object that the commit names and that isn't there, with the keys whose values it held."""
+
+    path: str
+    keys: tuple[str, ...] = ()
+    exists: bool = False
+
+    def __str__(self) -> str:
+        return f"{self.path} is missing"
+
+
 @dataclass(frozen=True)
 class PushResult:
     updated: bool

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
 import uuid
@@ -10,9 +11,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import MissingTableError
 from ..model import Connection
-from ..sources.store import Store
-from .table import KeyedTable, now_us, open_table
+from ..sources.session import Session
+from . import table
+from .table import KeyedTable, open_table
 
 ENTRY_VERSION = 1
 ENTRY = "entry_version int, type string, timestamp long, remote_meta string, user_meta string, remote_conn struct<path:string>"
@@ -20,46 +23,41 @@ _KEY = re.compile(r"[A-Za-z0-9._-]+")
 
 
 def open_catalog(spark: SparkSession, conn: Connection | dict | str, local: str, flag: str = "r", **options: Any) -> Catalog:
-    return Catalog(open_table(spark, conn, local, flag, "json", type="catalog", **options))
+    return open_table(spark, conn, local, flag, "json", type="catalog", **options)
 
 
-class Catalog:
-    def __init__(self, table: KeyedTable):
-        self.table = table
-
-    def __getattr__(self, name: str) -> Any:
-        return getattr(self.table, name)
-
-    def __getitem__(self, key: str) -> dict:
-        return self.table[key]
-
-    def __len__(self) -> int:
-        return len(self.table)
-
-    def __enter__(self) -> Catalog:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.table.close()
+class Catalog(KeyedTable):
+    """key -> entry of a committed table. Assigning a connection to a key writes its entry."""
 
     def add(self, conn: Connection | dict | str, key: str | None = None, user_meta: Any = None) -> str:
         """Adds or renews the entry of a table; without a key it goes by the table's identity. Credentials are never kept."""
+        self._check()
         conn = Connection.of(conn)
-        head = Store(self.table.spark, conn).read("HEAD.json")
-        if head is None:
-            raise ValueError(f"nothing is committed at {conn.path}")
-        own = uuid.UUID(head["uuid"]).hex
-        if key is not None and (not isinstance(key, str) or not _KEY.fullmatch(key)):
+        if key is not None and not isinstance(key, str):
+            raise TypeError("a catalogue's keys are strings")
+        if key is not None and not _KEY.fullmatch(key):
             raise ValueError(f"not a catalogue key: {key!r}")
-        meta = json.dumps(user_meta)
-        entry = {"entry_version": ENTRY_VERSION, "type": head["type"], "timestamp": now_us(), "remote_meta": head["meta"], "user_meta": None if user_meta is None else meta, "remote_conn": conn.public()}
-        if key is not None and key != own and own in self.table:
-            del self.table[own]
-        self.table[key or own] = entry
+        meta = None if user_meta is None else json.dumps(user_meta)
+        member = Session(self.spark, conn)
+        own = member.get_uuid()
+        if own is None:
+            raise MissingTableError(f"nothing is committed at {conn.path}")
+        own = uuid.UUID(str(own)).hex
+        remote_meta = member.get_user_metadata()
+        entry = {"entry_version": ENTRY_VERSION, "type": member.get_type(), "timestamp": member.get_timestamp(), "remote_meta": None if remote_meta is None else json.dumps(remote_meta), "user_meta": meta, "remote_conn": conn.public()}
+        # Stamped with the time of writing, so that a change of user_meta alone is pushed.
+        KeyedTable.set(self, key or own, entry)
+        if key is not None and key != own and own in self:
+            del self[own]
         return key or own
 
-    set = add
+    def set(self, key: str, conn: Connection | dict | str, timestamp: int | str | dt.datetime | None = None, encode_value: bool = True) -> None:
+        """The entry of a table under a key; the same as assigning it."""
+        self.add(conn, key)
 
     def entries(self) -> DataFrame:
         """A row for each entry."""
-        return self.table.to_df().select("key", F.from_json(F.col("value").cast("string"), ENTRY).alias("e")).select("key", "e.*")
+        return self.to_df().select("key", F.from_json(F.col("value").cast("string"), ENTRY).alias("e")).select("key", "e.*")
+
+
+table._KINDS["catalog"] = Catalog

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 import logging
+import math
 import os
 import pickle
+import re
 import time
 import uuid
 import warnings
@@ -15,12 +17,14 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, MutableMappin
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FormatError, GroupTooLargeError, IdentityError, IntegrityError, MissingTableError, OfflineError, PushInProgressError, ReadOnlyError
+from ..errors import ClosedError, CompactionError, FormatError, GroupTooLargeError, IdentityError, IntegrityError, MissingTableError, OfflineError, PushInProgressError, ReadOnlyError
 from ..functions.grouping import group_column, group_of, new_generation, next_prime
-from ..model import ENTRY, FORMAT_VERSION, GROUP, INDEX, LOCAL, MOST_GROUP_BYTES, RESERVED, Connection, Head, PushResult
+from ..model import ENTRY, FORMAT_VERSION, GROUP, INDEX, LOCAL, MOST_GROUP_BYTES, RESERVED, Connection, Head, MissingObject, PushResult
+from ..sources.session import Session
 from ..sources.store import Lock, Store
 from . import views
 
@@ -28,6 +32,11 @@ log = logging.getLogger(__name__)
 
 #: Single writes that are held in memory before they go to a local segment, and local segments before they are merged.
 BUFFER, SEGMENTS = 1000, 8
+#: Bytes of a file that a push writes, about; a larger group is spread over several.
+FILE_BYTES = 256 << 20
+#: What a local folder holds; nothing else in it is ever touched.
+_OWN = ("state.json", "rows", "index", "index.new")
+_TEMPORARY = re.compile(r"\.|state\.json\.[0-9a-f]{32}\.tmp$")
 #: The codecs of values; None takes and gives bytes.
 CODECS: dict[str | None, tuple[Callable, Callable]] = {
     None: (lambda x: bytes(x), lambda x: bytes(x)),
@@ -42,6 +51,24 @@ def now_us() -> int:
     return time.time_ns() // 1000
 
 
+def _gone(e: BaseException) -> bool:
+    """Whether a file that a plan names was not there."""
+    return any(x in str(e) for x in _MISSING)
+
+
+def _unreachable(e: BaseException) -> bool:
+    """Whether a store could not be reached, as against one that answered with damage or a refusal."""
+    if isinstance(e, (ConnectionError, TimeoutError)):
+        return True
+    cause = e.java_exception if isinstance(e, Py4JJavaError) else None
+    while cause is not None:
+        name = cause.getClass().getName()
+        if name.startswith(("java.net.", "javax.net.", "org.apache.hadoop.net.")) or name in ("java.io.IOException", "java.io.InterruptedIOException", "java.io.EOFException") or "Timeout" in name:
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def timestamp_us(x: int | str | dt.datetime | None) -> int:
     """Microseconds since 1970: an integer, an ISO-8601 text with zone, or an aware datetime."""
     if x is None:
@@ -72,7 +99,10 @@ def open_table(spark: SparkSession, conn: Connection | dict | str, local: str, f
         raise ValueError("offline must be False, True or 'auto'")
     if offline and flag != "r":
         raise ReadOnlyError("offline tables are read-only")
-    return KeyedTable(spark, Connection.of(conn), local, flag, value_serializer, None if num_groups is None else next_prime(num_groups), lock_timeout, force_lock, offline, type, grouping)
+    conn = Connection.of(conn)
+    if conn.read_only and flag != "r":
+        raise ReadOnlyError("the connection is for reading")
+    return _KINDS.get(type, KeyedTable)(spark, conn, local, flag, value_serializer, None if num_groups is None else next_prime(num_groups), lock_timeout, force_lock, offline, type, grouping)
 
 
 class KeyedTable(MutableMapping):
@@ -81,10 +111,16 @@ class KeyedTable(MutableMapping):
     def __init__(self, spark, conn, local, flag, serializer, num_groups, lock_timeout, force_lock, offline, type, grouping):
         self.spark, self.conn, self.flag, self.type, self.grouping = spark, conn, flag, type, grouping
         self.encode, self.decode = CODECS[serializer]
-        self.writable, self.store, self._lock = flag != "r", Store(spark, conn), None
+        self.writable, self.store, self._lock = flag != "r", None, None
         self.local = Store(spark, Connection(local if "://" in local else f"file://{os.path.abspath(local)}"))
         self.offline, self._buffer, self._pushing, self._open = offline is True, {}, False, True
         self._done = weakref.finalize(self, lambda: None)
+        try:
+            self.store = Store(spark, conn)
+        except Exception as e:
+            if not (offline is True or offline == "auto" and _unreachable(e)):
+                raise
+            self.offline = True
         try:
             if self.writable:
                 self._lock = Lock(self.store, lock_timeout, force_lock)
@@ -104,10 +140,8 @@ class KeyedTable(MutableMapping):
             try:
                 # Read under the lock, so that no other writer's commit is missed.
                 head = self._committed_head()
-            except FormatError:
-                raise
-            except Exception:
-                if offline != "auto":
+            except Exception as e:
+                if offline != "auto" or not _unreachable(e):
                     raise
                 self.offline = True
         if self.flag == "r" and head is None and state is None:
@@ -119,7 +153,10 @@ class KeyedTable(MutableMapping):
         if state is None or self.flag == "n":
             if self.flag == "n" and head and num_groups is not None and head.num_groups not in (None, num_groups):
                 raise ValueError(f"the committed table has {head.num_groups} groups")
-            self.local.delete("")
+            if state is None and (foreign := [x for x, _ in self.local.list() if x not in _OWN and not _TEMPORARY.match(x)]):
+                raise ValueError(f"{self.local.root} holds other files ({foreign[0]}); give a folder of the table's own")
+            for x in _OWN:
+                self.local.delete(x)
             state = {"uuid": head.uuid if head else uuid.uuid4().hex, "segments": [], "seq": 0, "num_groups": None, "replace": False, "meta": None, "meta_ts": 0, "meta_pending": False, "ingest": None, "head": None}
         self.state = state
         if state["replace"]:
@@ -163,6 +200,8 @@ class KeyedTable(MutableMapping):
 
     def _segments(self) -> DataFrame:
         """The last local record of each key: W pending write, D pending delete, C clean copy, X nothing."""
+        if not self._open:
+            raise ClosedError("the table is closed")
         self._flush()
         paths = [self.local.path(x) for x in self.state["segments"]]
         if not paths:
@@ -195,31 +234,37 @@ class KeyedTable(MutableMapping):
         if self._replacing() or not self.head.manifest:
             return self.spark.createDataFrame([], GROUP)
         wanted = self.head.manifest if gids is None else {g: self.head.manifest[g] for g in gids if g in self.head.manifest}
-        by_gen: dict[str, list[int]] = {}
-        for g, gen in wanted.items():
-            by_gen.setdefault(gen, []).append(g)
-        if not by_gen:
+        if not wanted:
             return self.spark.createDataFrame([], GROUP)
-        rows = self.spark.read.schema(GROUP).option("basePath", self.store.path("groups")).parquet(*(self.store.path(f"groups/gen={g}") for g in sorted(by_gen)))
-        live = F.lit(False)
-        for gen, held in by_gen.items():
-            live = live | ((F.col("gen") == gen) & F.col("gid").isin(held))
-        return rows.where(live)
+        paths = [self.store.path(f"groups/gen={gen}/gid={g}") for g, gen in wanted.items()]
+        return self.spark.read.schema(GROUP).option("basePath", self.store.path("groups")).parquet(*paths)
+
+    def _missing_objects(self, gids: Iterable[int] | None = None) -> dict[int, str]:
+        """gid -> path of the groups that the commit names and the store doesn't have."""
+        wanted = self.head.manifest if gids is None else {g: self.head.manifest[g] for g in gids if g in self.head.manifest}
+        there = {gen: {x for x, _ in self.store.list(f"groups/gen={gen}")} for gen in set(wanted.values())}
+        return {g: f"groups/gen={gen}/gid={g}" for g, gen in wanted.items() if f"gid={g}" not in there[gen]}
 
     def to_df(self) -> DataFrame:
         """The live rows: key, ts, value."""
         if self.offline:
             self._require_local()
             return self._local()
-        local = self._segments()
+        return self._healed(self._view)
+
+    def _view(self, gids: Iterable[int] | None = None) -> DataFrame:
+        """The live rows, of all groups or some."""
+        if self.offline:
+            return self._local()
+        local, index = self._segments(), self.index()
         mine, w, d = (local.where(c) for c in ("op in ('W', 'C')", "op = 'W'", "op = 'D'"))
-        return views.merged_view(self.committed().select("key", "ts", "value"), mine.select("key", "ts", "value"), w, d)
+        return views.merged_view(self.committed(gids).select("key", "ts", "value"), mine.select("key", "ts", "value"), w.select("key"), d.select("key"), index)
 
     def _require_local(self, keys: list[str] | None = None) -> None:
         missing = views.fetch_keys(self._local(), self.index_offline(), self._written(), self._deletes())
         if keys is not None:
             missing = missing.where(F.col("key").isin(keys))
-        names = [x.key for x in missing.orderBy("key").limit(100).collect()]
+        names = sorted(x.key for x in missing.collect())
         if names:
             raise OfflineError(f"not held locally: {', '.join(names)}")
 
@@ -236,19 +281,41 @@ class KeyedTable(MutableMapping):
         try:
             return action()
         except Exception as e:
-            if self.offline or not any(x in str(e) for x in _MISSING):
+            if self.offline or not _gone(e):
                 raise
-            self.pull(force=True)
+            self._reread()
             try:
                 return action()
             except Exception as again:
-                if any(x in str(again) for x in _MISSING):
-                    raise IntegrityError(f"the committed index names data that is gone: {str(again)[:300]}") from again
-                raise
+                if not _gone(again):
+                    raise
+                error = IntegrityError(f"the committed index names data that is gone: {str(again)[:300]}")
+                error.missing = tuple(MissingObject(x) for x in self._missing_objects().values())
+                raise error from again
+
+    def _reread(self) -> None:
+        """Takes the latest commit, whatever its time; if the commit has gone, nothing is committed."""
+        if self._committed_head() is None:
+            self.head = Head(uuid=self.state["uuid"], type=self.type)
+        else:
+            self.pull(force=True)
+
+    def healed(self, action: Callable[[], Any]) -> Any:
+        """Runs action(), which builds and runs plans on this table; if another writer's push has replaced files it reads, once more on the latest commit."""
+        return self._healed(action)
 
     # Reading
 
+    @property
+    def session(self) -> Session:
+        """What is committed, asked directly."""
+        return Session(self.spark, self.conn)
+
     def _row(self, key: str) -> tuple[int, bytes] | None:
+        if not self._open:
+            raise ClosedError("the table is closed")
+        if not isinstance(key, str):
+            return None
         if key in self._buffer:
             op, ts, value = self._buffer[key]
             return (ts, value) if op == "W" else None
@@ -326,37 +393,42 @@ class KeyedTable(MutableMapping):
         asked = self.spark.createDataFrame(list(enumerate(wanted)), "pos long, key string")
         if self.offline:
             self._require_local(wanted)
-        rows = self._healed(lambda: views.bulk_get(asked, self._within(wanted)).collect())
+        rows = self._healed(lambda: views.bulk_get(asked, self._within(wanted)).toLocalIterator())
         return ((x.key, default if x.value is None else self.decode(x.value)) for x in rows)
 
     def _within(self, keys: list[str]) -> DataFrame:
         """Live rows for some keys, of their groups alone."""
-        if self.offline:
-            return self._local()
-        gids = sorted({group_of(k, self.groups, self.grouping) for k in keys})
-        local = self._segments()
-        return views.merged_view(self.committed(gids).select("key", "ts", "value"), local.where("op in ('W', 'C')").select("key", "ts", "value"), local.where("op = 'W'"), local.where("op = 'D'"))
+        return self._view(sorted({group_of(k, self.groups, self.grouping) for k in keys}))
 
-    def load_items(self, keys: Iterable[str] | None = None) -> dict[str, str]:
-        """Copies committed rows that are newer than the local ones to local state; {key: reason} of what failed."""
+    def load_items(self, keys: Iterable[str] | None = None) -> dict[str, MissingObject | str]:
+        """Copies committed rows that are newer than the local ones to local state; {key: what is wrong} of those that can't be."""
         if self.offline:
             self._require_local(None if keys is None else list(keys))
             return {}
         wanted = None if keys is None else list(keys)
 
-        def plan() -> DataFrame:
+        def load() -> dict[str, MissingObject | str]:
             due = views.fetch_keys(self._local(), self.index(), self._written(), self._deletes())
             if wanted is not None:
                 due = due.join(self.spark.createDataFrame([(k,) for k in wanted], "key string"), "key", "left_semi")
             gids = [x.gid for x in due.select("gid").distinct().collect()]
-            return due.select("key").join(self.committed(gids), "key", "left")
-
-        def load() -> dict[str, str]:
-            rows = plan().select("key", "ts", "value")
-            self._append(rows.where("value is not null"), "C")
-            return {x.key: "in the index and not in its group" for x in plan().where("value is null").select("key").collect()} if rows.where("value is null").limit(1).count() else {}
+            gone = self._missing_objects(gids)
+            found = due.where(~F.col("gid").isin(list(gone))).join(self.index().select("key", "length"), "key").join(self.committed([g for g in gids if g not in gone]).select("key", "ts", "value"), "key", "left")
+            whole = F.coalesce(F.octet_length("value") == F.col("length"), F.lit(False))
+            self._append(found.where(whole).select("key", "ts", "value"), "C")
+            failed: dict[str, MissingObject | str] = {}
+            lost: dict[int, list[str]] = {}
+            for x in due.where(F.col("gid").isin(list(gone))).collect() if gone else ():
+                lost.setdefault(x.gid, []).append(x.key)
+            for g, names in lost.items():
+                failed |= dict.fromkeys(names, MissingObject(gone[g], tuple(sorted(names))))
+            return failed | {x.key: "in the index and not whole in its group" for x in due.join(self._local(), "key", "left_anti").where(~F.col("gid").isin(list(gone))).collect()}
 
         failed = self._healed(load)
+        if failed:
+            # The commit may have been replaced meanwhile.
+            self._reread()
+            failed = self._healed(load)
         self._copy_index()
         return failed
 
@@ -368,6 +440,8 @@ class KeyedTable(MutableMapping):
     # Writing
 
     def _check(self, key: str | None = None) -> None:
+        if not self._open:
+            raise ClosedError("the table is closed")
         if not self.writable:
             raise ReadOnlyError("opened for reading")
         if key is not None and (not isinstance(key, str) or key.startswith(RESERVED)):
@@ -389,13 +463,19 @@ class KeyedTable(MutableMapping):
             self.set(k, v)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Writes a frame (key, value[, ts]); of repeated keys the row of greatest ts, then value, holds."""
+        """Writes a frame (key, value[, ts]); of repeated keys the row of greatest ts, then value, holds (a frame has no order of input).
+
+        Keys are strings, values strings or bytes as the table's codec writes them, times positive; anything else is an error and writes nothing.
+        """
         self._check()
-        bad = rows.where(F.col("key").isNull() | F.col("key").startswith(RESERVED) | F.col("value").isNull())
-        ts = F.col("ts") if "ts" in rows.columns else F.lit(now_us())
-        rows = rows.select("key", ts.cast("long").alias("ts"), F.col("value").cast("binary").alias("value"))
-        if bad.limit(1).count():
-            raise ValueError("keys and values must not be null, and keys not reserved")
+        kinds = dict(rows.dtypes)
+        if kinds.get("key") != "string" or kinds.get("value") not in ("string", "binary") or kinds.get("ts", "bigint") not in ("bigint", "int"):
+            raise TypeError("a frame of key string, value string or binary, and ts long or none")
+        ts = F.col("ts").cast("long") if "ts" in rows.columns else F.lit(now_us())
+        rows = rows.select("key", ts.alias("ts"), F.col("value").cast("binary").alias("value"))
+        bad = F.col("key").isNull() | F.col("key").startswith(RESERVED) | F.col("value").isNull() | F.col("ts").isNull() | (F.col("ts") <= 0)
+        if rows.where(bad).limit(1).count():
+            raise ValueError("keys, values and times must not be null, keys not reserved, and times positive")
         self._append(rows.groupBy("key").agg(F.max(F.struct("ts", "value")).alias("r")).select("key", "r.ts", "r.value"), "W")
 
     def __delitem__(self, key: str) -> None:
@@ -407,12 +487,23 @@ class KeyedTable(MutableMapping):
         # A delete can't be told from the data, as a write can; it is kept at once.
         self._flush()
 
+    def remove(self, rows: DataFrame) -> None:
+        """Deletes the keys of a frame (key) that are there, in bulk; others are passed by."""
+        self._check()
+        if dict(rows.dtypes).get("key") != "string":
+            raise TypeError("a frame of key string")
+        there = rows.select("key").distinct().join(self.key_frame(), "key", "left_semi")
+        known = self.index().select("key", F.lit(True).alias("known"))
+        marked = there.join(known, "key", "left").select("key", F.when(F.col("known"), "D").otherwise("X").alias("op"), F.lit(now_us()).alias("ts"), F.lit(b"").alias("value"))
+        self._flush()
+        self._segment(marked)
+
     def set_timestamp(self, key: str, timestamp: int | str | dt.datetime) -> None:
         self._check(key)
         row = self._row(key)
         if row is None:
             raise KeyError(key)
-        self.set(key, row[1], timestamp, encode_value=False)
+        KeyedTable.set(self, key, row[1], timestamp, encode_value=False)
 
     def set_metadata(self, data: Any, timestamp: int | str | dt.datetime | None = None) -> None:
         self._check()
@@ -517,7 +608,8 @@ class KeyedTable(MutableMapping):
 
     def map(self, func: Callable[[str, Any], tuple[str, Any] | None], keys: Iterable[str] | None = None) -> DataFrame:
         """func(key, value) for each live row, in the workers: a pair makes a row (key, value), None makes none."""
-        rows = self.to_df() if keys is None else self._within(list(keys := list(keys))).where(F.col("key").isin(keys))
+        wanted = None if keys is None else list(keys)
+        rows = self.to_df() if wanted is None else self._healed(lambda: self._within(wanted)).where(F.col("key").isin(wanted))
         encode, decode = self.encode, self.decode
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,7 +633,11 @@ class KeyedTable(MutableMapping):
         self._save()
 
     def copy_remote(self, to: Connection | dict | str) -> dict[int, str]:
-        """Copies exactly the committed data to an empty place, the commit last; the copy keeps the identity."""
+        """Copies exactly the committed data to an empty place, the commit last; the copy keeps the identity.
+
+        Every file is read and written by one task, without a shuffle. Groups that
+        are missing are returned, and then nothing is committed there.
+        """
         target = Store(self.spark, Connection.of(to))
         if target.exists("HEAD.json") or target.list():
             raise ValueError("the target is not empty")
@@ -549,9 +645,14 @@ class KeyedTable(MutableMapping):
         if head is None:
             raise MissingTableError("nothing is committed")
         self.head = head
+        if failed := {g: f"{x} is missing" for g, x in self._missing_objects().items()}:
+            return failed
         if head.commit:
-            self.committed().repartition("gen", "gid").sortWithinPartitions("gen", "gid", "key").write.partitionBy("gen", "gid").parquet(target.path("groups"))
-            self.index().write.parquet(target.path(f"index/{head.commit}"))
+            if head.manifest:
+                paths = [self.store.path(f"groups/gen={gen}/gid={g}") for g, gen in head.manifest.items()]
+                rows = self.spark.read.schema(GROUP).option("basePath", self.store.path("groups")).parquet(*paths)
+                rows.write.partitionBy("gen", "gid").parquet(target.path("groups"))
+            self.spark.read.schema(INDEX).parquet(self.store.path(f"index/{head.commit}")).write.parquet(target.path(f"index/{head.commit}"))
         target.write("HEAD.json", head.record())
         return {}
 
@@ -583,14 +684,20 @@ class Changes:
     def changelog(self) -> DataFrame:
         """key, local_ts, remote_ts."""
         t = self.table
-        return views.changelog(t._local(), t.index(), t._written(), now_us())
+        return t._healed(lambda: views.changelog(t._local(), t.index(), t._written(), now_us()))
 
     def iter_changes(self) -> Iterator[dict]:
-        for x in views.readable_changes(self.changelog()).toLocalIterator():
-            yield x.asDict()
+        """key, remote_timestamp (None: not committed) and local_timestamp, in UTC."""
+        at = lambda us: None if us is None else dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(microseconds=us)
+        for x in self.changelog().toLocalIterator():
+            yield {"key": x.key, "remote_timestamp": at(x.remote_ts), "local_timestamp": at(x.local_ts)}
+
+    def deletes(self) -> DataFrame:
+        """key of the pending deletes."""
+        return self.table._deletes()
 
     def pending_deletes(self) -> frozenset[str]:
-        return frozenset(x.key for x in self.table._deletes().collect())
+        return frozenset(x.key for x in self.deletes().collect())
 
     def discard(self, keys: Iterable[str] | None = None) -> None:
         """Forgets pending writes and deletes, of some keys or all; all also reverts metadata."""
@@ -608,8 +715,10 @@ class Changes:
     def push(self, force_push: bool = False) -> PushResult:
         """Writes the touched groups as a new generation and commits them at once.
 
-        A failure of the write is returned for all touched groups, and nothing is
-        committed; a failure of the commit itself is raised.
+        Groups that can't be written are returned with the reason, keep their
+        committed data, and their changes stay pending; the others are committed. A
+        replacement is committed whole or not at all. A failure of the commit itself
+        is raised.
         """
         t = self.table
         t._check()
@@ -627,44 +736,85 @@ class Changes:
 
     def _push(self, force: bool) -> PushResult:
         t, state = self.table, self.table.state
-        index, local = t.index(), t._local()
-        lost = views.dropped_writes(t._written(), local).count()
-        if lost:
-            warnings.warn(f"{lost} pending writes have no value and are dropped", stacklevel=3)
-        changed = views.changelog(local, index, t._written(), now_us())
+        began, segments = time.time(), list(state["segments"])
+        index, local, written, deletes = t.index(), t._local(), t._written(), t._deletes()
+        if lost := views.dropped_writes(written, local).count():
+            warnings.warn(f"{lost} pending writes have no value and are dropped", stacklevel=4)
+        late = local.join(written, "key", "left_semi").join(index.select("key", F.col("ts").alias("remote_ts")), "key").where("ts <= remote_ts")
+        if restamped := late.count():
+            warnings.warn(f"{restamped} pending writes are not newer than the committed rows and get a new time", stacklevel=4)
+        changed = views.changelog(local, index, written, now_us())
         writes = local.drop("ts").join(changed.select("key", F.col("local_ts").alias("ts")), "key").select("key", "ts", "value")
-        deletes = t._deletes()
-        touched_df = writes.select("key").union(deletes).select(t._gid().alias("gid")).distinct()
-        touched = sorted(x.gid for x in touched_df.collect())
-        first = not t.head.commit
+        sizes = {x.gid: (x.bytes, x.n) for x in views.packed_sizes(index, writes, deletes, t._gid()).collect()}
+        touched, first = sorted(sizes), not t.head.commit
         if not (touched or force or state["meta_pending"] or state["replace"] or first):
             return PushResult(False)
-        gen, commit = new_generation(frozenset(t.head.manifest.values())), new_generation()
-        old = t.committed(touched).select("key", "ts", "value", "gid")
-        merged = views.without(views.without(old, writes), deletes).union(writes.select("key", "ts", "value", t._gid().alias("gid")))
-        began = time.time()
+        failures = {g: f"{GroupTooLargeError.__name__}: {sizes[g][0]} bytes; use more groups" for g in touched if sizes[g][0] > MOST_GROUP_BYTES}
+        gone = {} if t._replacing() else t._missing_objects(touched)
+        if gone:
+            kept = index.where(F.col("gid").isin(list(gone)))
+            warnings.warn(f"{views.without(views.without(kept, writes), deletes).count()} keys of {len(gone)} groups have lost their values and leave the index", stacklevel=4)
+        log.info("push: %d groups, %d keys, %d bytes", len(touched), sum(n for _, n in sizes.values()), sum(b for b, _ in sizes.values()))
+
+        def rows_of(gids: list[int], every: bool) -> DataFrame:
+            old = t.committed([g for g in gids if g not in gone]).select("key", "ts", "value", "gid")
+            new = writes.select("key", "ts", "value", t._gid().alias("gid"))
+            return views.without(views.without(old, writes), deletes).union(new if every else new.where(F.col("gid").isin(gids)))
+
+        live: dict[int, str] = {}
+        made: list[str] = []
+
+        def write(gids: list[int]) -> None:
+            """Writes groups in one job; if it fails, in halves, so that what can't be written is found."""
+            gen = new_generation(frozenset(t.head.manifest.values()))
+            splits = max(1, math.ceil(sum(sizes[g][0] for g in gids) / len(gids) / FILE_BYTES))
+            try:
+                rows = rows_of(gids, len(gids) == len(touched)).repartition("gid", F.pmod(F.xxhash64("key"), F.lit(splits)))
+                rows.sortWithinPartitions("gid", "key").write.partitionBy("gid").parquet(t.store.path(f"groups/gen={gen}"))
+            except Exception as e:
+                t.store.delete(f"groups/gen={gen}")
+                if len(gids) == 1:
+                    failures[gids[0]] = f"{type(e).__name__}: {str(e)[:300]}"
+                    return
+                half = len(gids) // 2
+                write(gids[:half])
+                write(gids[half:])
+                return
+            made.append(gen)
+            held = sorted(int(x[4:]) for x, _ in t.store.list(f"groups/gen={gen}") if x.startswith("gid="))
+            live.update(dict.fromkeys(held, gen))
+            for g in held:
+                log.info("group %d: %d keys, %d bytes", g, sizes[g][1], sizes[g][0])
+
+        if todo := [g for g in touched if g not in failures]:
+            write(todo)
+        done = [g for g in touched if g not in failures]
+        log.info("written: %d groups, %d bytes in %.1f s; %d failed", len(done), sum(sizes[g][0] for g in done), time.time() - began, len(failures))
+        commit = new_generation()
+
+        def undo() -> None:
+            for gen in made:
+                t.store.delete(f"groups/gen={gen}")
+            t.store.delete(f"index/{commit}")
+
+        if failures and (state["replace"] or not (done or force or state["meta_pending"] or first)):
+            undo()
+            return PushResult(False, failures)
+        if state["segments"][: len(segments)] != segments:
+            undo()
+            raise CompactionError("local state was compacted during the push")
         try:
-            if touched:
-                merged.repartition("gid").sortWithinPartitions("gid", "key").write.partitionBy("gid").parquet(t.store.path(f"groups/gen={gen}"))
-                fresh = t.spark.read.schema("key string, ts long, value binary, gid int").parquet(t.store.path(f"groups/gen={gen}"))
-                sizes = views.packed_size(F.col("key"), F.col("value"))
-                held = {x.gid: x.n for x in fresh.groupBy("gid").agg((F.sum(sizes) + 4).alias("n")).collect()}
-                if big := [g for g, n in held.items() if n > MOST_GROUP_BYTES]:
-                    raise GroupTooLargeError(f"groups {big} are too large; use more groups")
-            else:
-                fresh, held = t.spark.createDataFrame([], "key string, ts long, value binary, gid int"), {}
-            new_index = views.next_index(index, fresh, t.spark.createDataFrame([(g,) for g in touched], "gid int"))
-            new_index.repartition("gid").sortWithinPartitions("gid", "key").write.parquet(t.store.path(f"index/{commit}"))
-        except GroupTooLargeError:
-            t.store.delete(f"groups/gen={gen}")
-            raise
+            paths = [t.store.path(f"groups/gen={gen}/gid={g}") for g, gen in live.items()]
+            row = "key string, ts long, value binary, gen string, gid int"
+            fresh = t.spark.read.schema(row).option("basePath", t.store.path("groups")).parquet(*paths) if paths else t.spark.createDataFrame([], row)
+            new_index = views.next_index(index, fresh, t.spark.createDataFrame([(g,) for g in done], "gid int"))
+            splits = max(1, math.ceil(sum(n for _, n in sizes.values()) / max(1, len(sizes)) * 64 / FILE_BYTES))
+            new_index.repartition("gid", F.pmod(F.xxhash64("key"), F.lit(splits))).sortWithinPartitions("gid", "key").write.parquet(t.store.path(f"index/{commit}"))
         except Exception as e:
-            t.store.delete(f"groups/gen={gen}")
-            t.store.delete(f"index/{commit}")
+            undo()
             return PushResult(False, dict.fromkeys(touched, f"{type(e).__name__}: {str(e)[:300]}"))
-        log.info("packed %d groups, %d bytes in %.1f s", len(held), sum(held.values()), time.time() - began)
         before = {} if state["replace"] else t.head.manifest
-        manifest = {g: x for g, x in before.items() if g not in set(touched)} | dict.fromkeys(held, gen)
+        manifest = {g: x for g, x in before.items() if g not in set(done)} | live
         if state["meta_pending"]:
             meta, meta_ts = state["meta"], state["meta_ts"] if state["meta_ts"] > t.head.meta_ts else max(now_us(), t.head.meta_ts + 1)
         elif state["replace"]:
@@ -674,14 +824,18 @@ class Changes:
         head = Head(state["uuid"], t.type, max(now_us(), t.head.ts + 1), commit, state["num_groups"], manifest, meta, meta_ts)
         t._lock.verify()
         t.store.write("HEAD.json", head.record())
+        log.info("committed %s", commit)
         replaced, old_head = state["replace"], t.head
         t.head = head
-        clean = writes.select("key", F.lit("C").alias("op"), "ts", "value").union(views.without(views.without(t._segments(), writes), deletes).where("op = 'C'").select("key", "op", "ts", "value"))
-        t._rewrite(clean)
+        rows = t._segments()
+        pending = rows.where(F.col("op").isin("W", "D") & t._gid().isin(list(failures)))
+        clean = writes.where(~t._gid().isin(list(failures))).select("key", F.lit("C").alias("op"), "ts", "value")
+        rest = views.without(views.without(rows.where("op = 'C'"), writes), deletes)
+        t._rewrite(clean.union(rest.select("key", "op", "ts", "value")).union(pending.select("key", "op", "ts", "value")))
         state |= {"head": head.record(), "ingest": head.ts, "replace": False, "meta_pending": False, "meta": meta, "meta_ts": meta_ts}
         t._save()
-        self._collect_garbage(old_head, head, touched, replaced)
-        return PushResult(True)
+        self._collect_garbage(old_head, head, done, replaced)
+        return PushResult(True, failures)
 
     def _collect_garbage(self, old: Head, new: Head, touched: list[int], replaced: bool) -> None:
         """Deletes exactly what the commit replaced; what fails is an orphan for fsck."""
@@ -698,3 +852,7 @@ class Changes:
                 t.store.delete(f"index/{old.commit}")
         except Exception as e:
             log.warning("orphans remain: %s", e)
+
+
+#: Tables with a class of their own, by type.
+_KINDS: dict[str, type[KeyedTable]] = {}

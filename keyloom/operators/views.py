@@ -65,14 +65,22 @@ def fetch_plan(local: DataFrame, index: DataFrame, written: DataFrame, deletes:
     return fetch_keys(local, keyed, written, deletes).groupBy("gid").agg(F.count("*").alias("n_keys"))
 
 
-def merged_view(committed: DataFrame, local: DataFrame, written: DataFrame, deletes: DataFrame) -> DataFrame:
-    """The live rows (key, ts, value): a pending write wins, then the newer of local and committed, without pending deletes."""
-    mine = local.select("key", F.struct("ts", "value").alias("mine")).join(written.select("key", F.lit(True).alias("w")), "key", "left")
-    theirs = committed.select("key", F.struct("ts", "value").alias("theirs"))
-    both = without(mine.join(theirs, "key", "full"), deletes)
-    own = F.col("mine").isNotNull() & (F.col("w").isNotNull() | ~F.coalesce(stale(F.col("mine.ts"), F.col("theirs.ts")), F.lit(False)))
-    row = F.when(own, F.col("mine")).otherwise(F.col("theirs"))
-    return both.select("key", row.alias("row")).select("key", "row.ts", "row.value")
+def own_rows(local: DataFrame, index: DataFrame, written: DataFrame, deletes: DataFrame) -> DataFrame:
+    """The local rows that hold: pending writes, and copies that are not staler than the committed row."""
+    mine = local.join(written.select("key", F.lit(True).alias("w")), "key", "left")
+    mine = without(mine.join(index.select("key", F.col("ts").alias("remote_ts")), "key", "left"), deletes)
+    return mine.where(F.col("w").isNotNull() | ~F.coalesce(stale(F.col("ts"), F.col("remote_ts")), F.lit(False))).select("key", "ts", "value")
+
+
+def merged_view(committed: DataFrame, local: DataFrame, written: DataFrame, deletes: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The live rows (key, ts, value): a pending write wins, then the newer of local and committed, without pending deletes.
+
+    A union of two arms, so that conditions on keys reach the scans of both; the
+    committed arm is joined with the local keys alone.
+    """
+    own = own_rows(local, committed.select("key", "ts") if index is None else index, written, deletes)
+    hidden = own.select("key").union(deletes.select("key"))
+    return without(committed.select("key", "ts", "value"), hidden).union(own)
 
 
 def bulk_get(requested: DataFrame, rows: DataFrame, default: Column | None = None) -> DataFrame:
@@ -116,6 +124,16 @@ def next_index(index: DataFrame, repacked: DataFrame, touched: DataFrame) -> Dat
     return index.join(F.broadcast(touched), "gid", "left_anti").select(new.columns).union(new)
 
 
+def packed_sizes(index: DataFrame, writes: DataFrame, deletes: DataFrame, groups: Column) -> DataFrame:
+    """gid, packed bytes and members of the groups that a push touches, as they will be; of committed values only the lengths are read."""
+    new = writes.select("key", F.octet_length("value").cast("long").alias("length"))
+    old = without(without(index.select("key", "length"), writes), deletes)
+    every = old.union(new).select(groups.alias("gid"), (F.lit(13) + F.octet_length("key") + F.col("length")).alias("size"))
+    touched = writes.select("key").union(deletes.select("key")).select(groups.alias("gid")).distinct()
+    sizes = every.groupBy("gid").agg((F.sum("size") + 4).alias("bytes"), F.count("*").alias("n"))
+    return touched.join(sizes, "gid", "left").select("gid", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def lost_keys(index: DataFrame, committed: DataFrame) -> DataFrame:
     """Index entries without data."""
     return without(index.select("key"), committed)

@@ -8,9 +8,6 @@ millisecond later (even keys) or earlier; 21 divides pending writes, 35 (and not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +17,7 @@ from ..operators import views
 GROUPS, FINE, BEFORE = 11, 997, 900_000_000_000_000
 
 
-class _Sides:
+class Sides:
     """The frames of the two-sided state."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -29,6 +26,7 @@ class _Sides:
         ok = F.col("o_orderkey")
         key = ok.cast("string").alias("key")
         row = lambda ts: [key, ts.alias("ts"), ok.cast("string").cast("binary").alias("value")]
+        self.all = orders.select(*row(micros))
         self.committed = orders.where(ok % 10 != 0).select(*row(micros))
         self.index = self.committed.select("key", "ts")
         self.local = orders.where(ok % 3 == 0).select(*row(micros + F.when(ok % 2 == 0, 1000).otherwise(-1000)))
@@ -56,21 +54,21 @@ def _text(df: DataFrame) -> DataFrame:
 
 
 def _sided(f):
-    return lambda spark, sf_dir: f(_Sides(spark, sf_dir))
+    return lambda spark, sf_dir: f(Sides(spark, sf_dir))
 
 
-def _next_index(s: _Sides) -> DataFrame:
+def _next_index(s: Sides) -> DataFrame:
     index = s.committed.select("key", "ts", group_column("key", FINE).alias("gid"), F.octet_length("value").cast("long").alias("length"))
     return views.next_index(index, s.repacked(), s.touched())
 
 
-def _discard(s: _Sides) -> DataFrame:
+def _discard(s: Sides) -> DataFrame:
     """The view after all pending changes are forgotten: the journaled local rows go, deletes are taken back."""
     none = s.written.limit(0)
     return views.merged_view(s.committed, views.without(s.local, s.written), none, none).select("key", "ts")
 
 
-def _fsck(s: _Sides) -> tuple[DataFrame, DataFrame]:
+def _fsck(s: Sides) -> tuple[DataFrame, DataFrame]:
     child = lambda df: df.select(F.concat(F.lit("c/"), "key").alias("child"))
     return views.fsck(child(s.index), child(s.local))
 
@@ -80,36 +78,6 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.latest_wins(events, "user", ["ts", "event_id"], "event_id")
 
 
-def _map(func):
-    """The table's map over orders, by Arrow batches."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("value"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                made = [x for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (x := func(k, v)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.string()), pa.array([v for _, v in made], pa.int64())], names=["key", "value"])
-
-        return rows.mapInArrow(run, "key string, value long")
-
-    return query
-
-
-def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    entry = F.to_json(F.struct(F.lit(1).alias("entry_version"), F.lit("table").alias("type"), F.col("n_regionkey").alias("region")))
-    read = F.from_json(entry, "entry_version int, type string, region int")
-    return nation.select(F.concat(F.lit("nation-"), "n_nationkey").alias("key"), read.alias("e")).select("key", "e.entry_version", "e.type", "e.region")
-
-
-def _catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("nation", "region"))
-    old = nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.lit(1).alias("ts"))
-    new = region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.lit(2).alias("ts"))
-    return views.latest_wins(old.union(new), "key", ["ts", "name"], "name")
-
-
 QUERIES = {
     "changelog": _sided(lambda s: views.changelog(s.local, s.index, s.written)),
     "readable_changes": _sided(lambda s: views.readable_changes(views.changelog(s.local, s.index, s.written)).select("key", F.unix_micros("remote_timestamp").alias("remote_us"), F.unix_micros("local_timestamp").alias("local_us"))),
@@ -137,12 +105,7 @@ QUERIES = {
     "fsck_orphans": _sided(lambda s: _fsck(s)[0]),
     "fsck_missing": _sided(lambda s: _fsck(s)[1]),
     "fsck_unmanifested": _sided(lambda s: views.unmanifested(s.keyed(FINE), s.touched())),
-    "copy_plan": _sided(lambda s: s.keyed(FINE).groupBy("gid").agg(F.count("*").alias("n"))),
     "latest_wins": _latest,
-    "map_double": _map(lambda k, v: (k, v * 2)),
-    "map_skip_rekey": _map(lambda k, v: (f"new_{k}", v) if v % 3 == 0 else None),
-    "catalog_entries": _catalog,
-    "catalog_upsert": _catalog_upsert,
 }
 
 _SIDES = """
@@ -195,11 +158,6 @@ ORACLE_SQL = {k: _SIDES + v for k, v in {
     "fsck_orphans": "SELECT 'c/' || key AS child FROM loc WHERE key NOT IN (SELECT key FROM idx)",
     "fsck_missing": "SELECT 'c/' || key AS child FROM idx WHERE key NOT IN (SELECT key FROM loc)",
     "fsck_unmanifested": "SELECT DISTINCT CAST(gid AS INTEGER) AS gid FROM gix WHERE gid NOT IN (SELECT gid FROM tch)",
-    "copy_plan": "SELECT CAST(gid AS INTEGER) AS gid, count(*) AS n FROM gix GROUP BY 1",
 }.items()} | {
     "latest_wins": "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
-    "map_double": "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderkey * 2 AS value FROM orders",
-    "map_skip_rekey": "SELECT 'new_' || o_orderkey AS key, o_orderkey AS value FROM orders WHERE o_orderkey % 3 = 0",
-    "catalog_entries": "SELECT 'nation-' || n_nationkey AS key, 1 AS entry_version, 'table' AS type, n_regionkey AS region FROM nation",
-    "catalog_upsert": "SELECT coalesce(r_regionkey, n_nationkey) AS key, coalesce(r_name, n_name) AS name FROM nation FULL JOIN region ON n_nationkey = r_regionkey",
 }

@@ -75,12 +75,31 @@ class Store:
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)
 
+    def rename(self, old: str, new: str) -> bool:
+        """Whether this call moved the document; of several callers one does."""
+        try:
+            return self.fs.rename(self._at(old), self._at(new))
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return False
+            raise
+
     def list(self, name: str = "") -> list[tuple[str, int]]:
         """Names and ages (time of change in seconds) directly under name."""
         if not self.exists(name):
             return []
         return [(x.getPath().getName(), x.getModificationTime() // 1000) for x in self.fs.listStatus(self._at(name))]
 
+    def files(self, name: str = "") -> list[tuple[str, int, int]]:
+        """Path below the root, bytes and time of change (seconds) of every file under name."""
+        if not self.exists(name):
+            return []
+        out, root, found = [], self._at("").toUri().getPath().rstrip("/") + "/", self.fs.listFiles(self._at(name), True)
+        while found.hasNext():
+            x = found.next()
+            out.append((x.getPath().toUri().getPath().removeprefix(root), x.getLen(), x.getModificationTime() // 1000))
+        return out
+
 
 class Lock:
     """A writer's lock beside the table, outside its folder."""
@@ -93,7 +112,13 @@ class Lock:
         while not self.store.create("writer", {"token": self.token, "at": time.time()}):
             held = self.store.read("writer") or {}
             if time.time() - held.get("at", time.time()) > LOCK_AGE:
-                self.store.delete("writer")
+                # Moved aside, which only one of several waiters can do, and put back if it was another lock by then.
+                aside = f"broken-{self.token}"
+                if self.store.rename("writer", aside):
+                    if (self.store.read(aside) or {}).get("token") == held.get("token"):
+                        self.store.delete(aside)
+                    else:
+                        self.store.rename(aside, "writer")
             elif time.time() > end:
                 raise TimeoutError(f"{store.root} is locked by another writer")
             else:

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.table_queries.QUERIES, entry.table_queries.ORACLE_SQL
+QUERIES, SQL = entry._QUERIES, entry._SQL
 
 
 @pytest.fixture(scope="module")

@@ -217,7 +217,7 @@ def test_catalog_and_fsck_sweep(spark, place):
     with open_catalog(spark, place[0] + "-cat", place[1]("cat"), "n") as c:
         own = c.add({"path": place[0], "options": {"fs.secret": "hidden"}}, user_meta={"owner": "x"})
         assert c[own]["type"] == "table" and "hidden" not in json.dumps(c[own])
-        assert c.add(place[0], "named") == "named" and set(c.table) == {"named"}
+        assert c.add(place[0], "named") == "named" and set(c) == {"named"}
         with pytest.raises(ValueError):
             c.add(place[0], "bad!key")
         assert c.entries().first().remote_conn.path == place[0]
