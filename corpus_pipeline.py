@@ -1,15 +1,24 @@
-"""A corpus pipeline of five stages, each an operator of keyloom.llm on all that the stage before kept."""
+"""A corpus pipeline of five stages, each an operator of keyloom.llm on all that the stage before kept.
+
+Near-duplicates are judged on shingles of five words at a similarity of 0.8. Defined
+results: every row is judged by itself, whatever its doc_id; rows without text go
+where they are judged poor, else they stay as rows without pieces; rows repeated with
+their id and text count once after near-dedup; a null doc_id stays if no row with one
+stands for it; an empty table gives no rows; columns beyond those of documents are
+kept up to the last stage, which returns doc_id, n_pieces and ids alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import decontam, minhash, quality, secrets, sp_dropout
-from keyloom.llm.common import stored, table
+from keyloom.llm.common import forget, small_batches, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the ordinal classifier rejects."""
+    small_batches(spark)
     return quality.selected(docs, table(spark, sf_dir, "labels"))
 
 
@@ -47,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another on documents; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
