@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1_000_000
 #: Entries a worker's memo tables may hold before they start anew.
 MEMO_MAX = 200_000
+#: Rows that small_batches() puts in a batch.
+BATCH_ROWS = 2000
 #: Rows of a decision table that may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -84,6 +86,15 @@ def map_slices(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For an application whose executors are small: fewer rows in the batches that go to Python workers, for its whole session.
+
+    No operator calls this by itself; without it Spark's own bounds hold.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def to_arrow(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 

@@ -2,54 +2,75 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, html_extract, minhash, quality, rules, secrets, sharding, sp_dropout, token_counts, token_files
-from .common import table
+from .common import small_batches, table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents (2-word shingles, similarity 0.8)."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
 def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document, by a model fitted on its labels."""
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to Simple-8b files and read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op5_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document by merge-dropout, with a digest and whether they decode to the text."""
     return sp_dropout.digests(table(spark, sf_dir, "documents"))
 
 
 def op7_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret in the documents, with the forest's score."""
     return secrets.findings(table(spark, sf_dir, "documents"))
 
 
 def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, distances from the language's usual text, and the verdict on every document."""
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that benchmark windows hit, and their items."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("starts", "ends")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_html_text, op3_ordinal_quality, op4_simple8b_tokens, op5_uniform_shards, op6_merge_dropout, op7_secret_findings, op8_divergence_rules, op9_winnowing, op10_token_counts)}
+def _with_small_batches(f):
+    @functools.wraps(f)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_minhash_dedup, op2_html_text, op3_ordinal_quality, op4_simple8b_tokens, op5_uniform_shards, op6_merge_dropout, op7_secret_findings, op8_divergence_rules, op9_winnowing, op10_token_counts)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
