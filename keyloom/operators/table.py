@@ -256,9 +256,7 @@ class KeyedTable(MutableMapping):
         """The live rows, of all groups or some."""
         if self.offline:
             return self._local()
-        local, index = self._segments(), self.index()
-        mine, w, d = (local.where(c) for c in ("op in ('W', 'C')", "op = 'W'", "op = 'D'"))
-        return views.merged_view(self.committed(gids).select("key", "ts", "value"), mine.select("key", "ts", "value"), w.select("key"), d.select("key"), index)
+        return views.live_view(self.committed(gids), self._segments(), self.index())
 
     def _require_local(self, keys: list[str] | None = None) -> None:
         missing = views.fetch_keys(self._local(), self.index_offline(), self._written(), self._deletes())

@@ -83,6 +83,14 @@ def merged_view(committed: DataFrame, local: DataFrame, written: DataFrame, dele
     return without(committed.select("key", "ts", "value"), hidden).union(own)
 
 
+def live_view(committed: DataFrame, segments: DataFrame, index: DataFrame) -> DataFrame:
+    """merged_view() of local records (key, op, ts, value), one for each key, whose op tells pending writes (W), deletes (D) and copies (C)."""
+    marked = segments.join(index.select("key", F.col("ts").alias("remote_ts")), "key", "left")
+    own = (F.col("op") == "W") | ((F.col("op") == "C") & ~F.coalesce(stale(F.col("ts"), F.col("remote_ts")), F.lit(False)))
+    hidden = marked.where(own | (F.col("op") == "D")).select("key")
+    return without(committed.select("key", "ts", "value"), hidden).union(marked.where(own).select("key", "ts", "value"))
+
+
 def bulk_get(requested: DataFrame, rows: DataFrame, default: Column | None = None) -> DataFrame:
     """A row for every request (pos, key), in request order, with the default where there is none."""
     found = requested.join(rows.select("key", "value", F.lit(True).alias("found")), "key", "left")
