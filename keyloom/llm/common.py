@@ -86,6 +86,46 @@ def map_slices(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
+def _slices_of(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    for i, j in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+        yield batch.slice(i, j - i)
+
+
+def filter_slices(df: DataFrame, keep: Callable[[list], list], text: str = "text") -> DataFrame:
+    """The rows of df for whose texts keep says so; all columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in _slices_of(batch, at):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_slices(df: DataFrame, change: Callable[[list], list], text: str = "text") -> DataFrame:
+    """df with other texts; all other columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in _slices_of(batch, at):
+                new = pa.array(change(part.column(at).to_pylist()), batch.schema.field(at).type)
+                yield part.set_column(at, batch.schema.field(at), new)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names with underscores before them until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """For an application whose executors are small: fewer rows in the batches that go to Python workers, for its whole session.
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASHES, M2, bounded, map_slices, mix64, stored
+from .common import HASHES, M2, bounded, filter_slices, free, map_slices, mix64, stored
 
 WINDOW, GRAM = 8, 5
 #: Test-set text, in bytes, up to which its index is sent to every worker.
@@ -244,18 +244,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, limit: int = 2, index_
     """The rows of docs without contaminated documents; each row is judged by its own text, whatever its doc_id."""
     items = _items(benchmark)
     if _bytes(items) > index_bytes:
-        keys = ["doc_id", "t1", "t2"]
-        gone = stored(_by_shuffle(docs, items).where(F.col("n_items") >= limit).select(*keys).distinct(), "contaminated")
-        keyed = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.hash("text")).alias("d")
-        same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.t1") == F.col("g.t1")) & (F.col("d.t2") == F.col("g.t2"))
-        return keyed.join(bounded(gone).alias("g"), same, "left_anti").select(docs.columns)
+        t1, t2 = free(docs, "t1", "t2")
+        gone = stored(_by_shuffle(docs, items).where(F.col("n_items") >= limit).select("doc_id", "t1", "t2").distinct(), "contaminated")
+        keyed = docs.withColumn(t1, F.xxhash64("text")).withColumn(t2, F.hash("text")).alias("d")
+        same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{t1}") == F.col("g.t1")) & (F.col(f"d.{t2}") == F.col("g.t2"))
+        return keyed.join(bounded(gone).alias("g"), same, "left_anti").drop(t1, t2)
     index = docs.sparkSession.sparkContext.broadcast(Index([tuple(x) for x in items.distinct().collect()]))
 
-    def step(rows: dict) -> dict:
-        found = [words(x) for x in rows["text"]]
+    def keep(texts: list) -> list:
+        found = [words(x) for x in texts]
         names: dict[int, set] = {}
         for d, _, _, item in index.value.hits(HASHES.of([w for x in found for w in x]), np.cumsum([len(x) for x in found])):
             names.setdefault(d, set()).add(item)
-        return {k: [x for d, x in enumerate(v) if len(names.get(d, ())) < limit] for k, v in rows.items()}
+        return [len(names.get(d, ())) < limit for d in range(len(found))]
 
-    return map_slices(docs, step, docs.schema)
+    return filter_slices(docs, keep)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, M1, M2, bounded, forget, map_slices, mix64, stored
+from .common import HASHES, M1, M2, bounded, forget, free, map_slices, mix64, stored
 
 PERMUTATIONS, BAND = 80, 5
 #: Members, and queries, that one comparison block holds.
@@ -238,11 +238,11 @@ def deduplicated(docs: DataFrame, percent: int = 80, words: int = 2) -> DataFram
     if unique:
         gone = stored(near_duplicates(docs, percent, words).where("not kept").select("doc_id"), "dropped")
         return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
-    keys = ["doc_id", "t1", "t2"]
-    keyed = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.hash("text")).dropDuplicates(keys)
-    order = keyed.select(*keys).orderBy(F.col("doc_id").asc_nulls_last(), "t1", "t2")
+    t1, t2, row = free(docs, "t1", "t2", "row")
+    keyed = docs.withColumn(t1, F.xxhash64("text")).withColumn(t2, F.hash("text")).dropDuplicates(["doc_id", t1, t2])
+    order = keyed.select("doc_id", F.col(t1).alias("t1"), F.col(t2).alias("t2")).orderBy(F.col("doc_id").asc_nulls_last(), "t1", "t2")
     numbered = stored(docs.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), "doc_id long, t1 long, t2 int, row long"), "rows")
-    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.t1") == F.col("r.t1")) & (F.col("d.t2") == F.col("r.t2"))
-    rows = stored(keyed.alias("d").join(numbered.alias("r"), same).select("d.*", "r.row").drop("t1", "t2"), "keyed")
-    gone = stored(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent, words).where("not kept").select(F.col("doc_id").alias("row")), "dropped")
-    return rows.join(bounded(gone), "row", "left_anti").select(docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col(f"d.{t1}") == F.col("r.t1")) & (F.col(f"d.{t2}") == F.col("r.t2"))
+    rows = stored(keyed.alias("d").join(numbered.alias("r"), same).select("d.*", F.col("r.row").alias(row)).drop(t1, t2), "keyed")
+    gone = stored(near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent, words).where("not kept").select(F.col("doc_id").alias(row)), "dropped")
+    return rows.join(bounded(gone), row, "left_anti").select(docs.columns)

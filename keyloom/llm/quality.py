@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, map_slices, stored
+from .common import HASHES, filter_slices, map_slices, stored
 
 #: Labelled documents that the fit uses at most, hash buckets, and the fewest documents that a fitted feature occurs in.
 SAMPLE, BUCKETS, MIN_DOCS = 12_000, 1 << 18, 8
@@ -160,9 +160,5 @@ def scored(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFr
 def selected(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs that the classifier keeps; each row is judged by its own text, whatever its doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-
-    def step(rows: dict) -> dict:
-        keep = shared.value.tails([features(x) for x in rows["text"]])[:, 1] >= least
-        return {k: [x for x, own in zip(v, keep, strict=True) if own] for k, v in rows.items()}
-
-    return map_slices(docs, step, docs.schema) if shared.value else docs
+    keep = lambda texts: shared.value.tails([features(x) for x in texts])[:, 1] >= least
+    return filter_slices(docs, keep) if shared.value else docs

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, replace_slices
 from .token_counts import default_path
 
 _NAME = r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)"
@@ -321,13 +321,12 @@ def redacted(docs: DataFrame, judge: Judge | None = None, least: float = 0.5) ->
     """docs with each secret in text replaced by its rule's name in brackets; n_chars, if there, follows the text."""
     shared = docs.sparkSession.sparkContext.broadcast(judge or train())
 
-    def step(rows: dict) -> dict:
-        of, found, score = _judged(rows["text"], shared.value, least)
-        texts = list(rows["text"])
+    def change(texts: list) -> list:
+        of, found, score = _judged(texts, shared.value, least)
         for i, x, p in reversed(list(zip(of, found, score, strict=True))):
             if p >= least:
                 texts[i] = f"{texts[i][: x.start]}[{x.rule.upper()}]{texts[i][x.end :]}"
-        return rows | {"text": texts}
+        return texts
 
-    out = map_slices(docs, step, docs.schema)
+    out = replace_slices(docs, change)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
