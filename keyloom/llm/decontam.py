@@ -181,57 +181,85 @@ def _by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), step, SCHEMA)
 
 
+def _windows(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of n words: the fingerprint that winnowing keeps for it (a short window's own hash), and two hashes that name it."""
+    own = grams(h, n)
+    if n < WINDOW:
+        return own, own, grams(mix64(h ^ M2), n)
+    g, low = grams(h, GRAM), None
+    for i in range(WINDOW - GRAM + 1):
+        part = g[i : i + len(own)]
+        low = part if low is None else np.minimum(low, part)
+    return low, own, grams(mix64(h ^ M2), n)
+
+
 def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same by a join of fingerprint rows; documents with the same id and text share a result."""
+    """The same by joins: fingerprints find documents and the windows around them, and windows are extended to runs by their names.
+
+    A text goes along once with its document, never with a pair, and items that
+    share a window are one row. Documents with the same id and text share a result.
+    """
     items = items.distinct()
-    key = [F.xxhash64("text").alias("t1"), F.hash("text").alias("t2")]
-    docs = docs.select("doc_id", "text", *key)
-
-    def prints(name: str):
-        def step(rows: dict) -> dict:
-            out = {name: [], "t1": [], "h": []}
-            for own, t1, text in zip(rows[name], rows["t1"], rows["text"], strict=True):
-                h = HASHES.of(words(text))
-                if name == "item" and len(h) < WINDOW:
-                    found = grams(h, len(h))[:1] if len(h) else []
-                else:
-                    g = grams(h, GRAM)
-                    found = np.concatenate([g[winnowed(g)], *(grams(h, n) for n in lengths)])
-                for x in set(np.asarray(found, np.uint64).view(np.int64).tolist()):
-                    out[name].append(own)
-                    out["t1"].append(t1)
-                    out["h"].append(x)
-            return out
+    by = ["doc_id", "t1", "t2"]
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
+    sized = map_slices(items.withColumnRenamed("item_text", "text"), lambda r: {"n": [len(words(x)) for x in r["text"]]}, "n int")
+    sizes = sorted({WINDOW, *(x.n for x in sized.where(f"n between 1 and {WINDOW - 1}").distinct().collect())})
+    signed = lambda x: x.view(np.int64).tolist()
 
-        return step
+    def of_items(rows: dict) -> dict:
+        out = {k: [] for k in ("item", "n", "h", "w1", "w2")}
+        for item, text in zip(rows["item"], rows["text"], strict=True):
+            h = HASHES.of(words(text))
+            n = min(WINDOW, len(h))
+            if n:
+                for row in set(zip(*map(signed, _windows(h, n)), strict=True)):
+                    for k, v in zip(out, (item, n, *row), strict=True):
+                        out[k].append(v)
+        return out
 
-    sized = map_slices(items.withColumnRenamed("item_text", "text"), lambda r: {"n": [len(words(x)) for x in r["text"]]}, "n int")
-    lengths = sorted(x.n for x in sized.where(f"n between 1 and {WINDOW - 1}").distinct().collect())
-    test = stored(map_slices(items.select("item", F.xxhash64("item_text").alias("t1"), F.col("item_text").alias("text")), prints("item"), "item string, t1 long, h long"), "test")
-    train = map_slices(docs, prints("doc_id"), "doc_id long, t1 long, h long")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.t1") == F.col("c.t1"))
-    pairs = train.join(test.select("item", F.col("t1").alias("i1"), "h"), "h").select("doc_id", "t1", "item", "i1").distinct()
-    items = items.withColumn("i1", F.xxhash64("item_text"))
-    one = docs.dropDuplicates(["doc_id", "t1", "t2"]).alias("d").join(pairs.alias("c"), same).select("d.*", "c.item", "c.i1").join(items, ["item", "i1"])
-
-    def extend(rows: dict) -> dict:
-        out = {k: [] for k in ("doc_id", "t1", "t2", "item", "begin", "end")}
+    def of_docs(rows: dict) -> dict:
+        out = {k: [] for k in (*by, "n", "h")}
         for i, text in enumerate(rows["text"]):
             h = HASHES.of(words(text))
-            for _, begin, end, item in Index([(rows["item"][i], rows["item_text"][i])]).hits(h, np.array([len(h)])):
-                for k, v in (("doc_id", rows["doc_id"][i]), ("t1", rows["t1"][i]), ("t2", rows["t2"][i]), ("item", item), ("begin", begin), ("end", end)):
-                    out[k].append(v)
+            for n in sizes:
+                g = grams(h, min(n, GRAM) if n == WINDOW else n)
+                for x in signed(np.unique(g[winnowed(g)] if n == WINDOW else g)):
+                    for k, v in zip(out, (*(rows[k][i] for k in by), n, x), strict=True):
+                        out[k].append(v)
         return out
 
-    runs = stored(map_slices(one, extend, "doc_id long, t1 long, t2 int, item string, begin long, end long"), "runs")
-    by = ["doc_id", "t1", "t2"]
+    def around(rows: dict) -> dict:
+        """The windows of documents whose fingerprints are among those found."""
+        out = {k: [] for k in (*by, "n", "begin", "w1", "w2")}
+        for i, text in enumerate(rows["text"]):
+            h, found = HASHES.of(words(text)), {}
+            for x in rows["found"][i]:
+                found.setdefault(x["n"], []).append(x["h"])
+            for n, known in found.items():
+                low, one, two = _windows(h, n)
+                for p in np.flatnonzero(np.isin(low.view(np.int64), known)).tolist():
+                    for k, v in zip(out, (*(rows[k][i] for k in by), n, p, int(one.view(np.int64)[p]), int(two.view(np.int64)[p])), strict=True):
+                        out[k].append(v)
+        return out
+
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.t1") == F.col(f"{b}.t1")) & (F.col(f"{a}.t2") == F.col(f"{b}.t2"))
+    test = stored(map_slices(items.select("item", F.col("item_text").alias("text")), of_items, "item string, n int, h long, w1 long, w2 long"), "test")
+    named = stored(test.groupBy("n", "w1", "w2").agg(F.array_sort(F.collect_set("item")).alias("names")), "windows")
+    prints = stored(test.select("n", "h").distinct(), "prints")
+    once = docs.dropDuplicates(by)
+    train = map_slices(once, of_docs, "doc_id long, t1 long, t2 int, n int, h long")
+    found = train.join(bounded(prints), ["n", "h"], "left_semi").groupBy(*by).agg(F.collect_list(F.struct("n", "h")).alias("found"))
+    near = once.alias("d").join(found.alias("f"), same("d", "f")).select("d.*", "f.found")
+    windows = map_slices(near, around, "doc_id long, t1 long, t2 int, n int, begin long, w1 long, w2 long")
+    runs = stored(windows.join(named, ["n", "w1", "w2"]).select(*by, "begin", (F.col("begin") + F.col("n")).alias("end"), "names"), "runs")
     spans = runs.groupBy(*by, "begin").agg(F.max("end").alias("end"))
     before = F.max("end").over(Window.partitionBy(*by).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("begin") > before, 1).when(before.isNull(), 1).otherwise(0))
     spans = spans.withColumn("span", F.sum("new").over(Window.partitionBy(*by).orderBy("begin")))
     spans = spans.groupBy(*by, "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
     spans = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    names = runs.groupBy(*by).agg(F.array_sort(F.collect_set("item")).alias("names"))
+    names = runs.select(*by, "names").distinct().select(*by, F.explode("names").alias("item"))
+    names = names.groupBy(*by).agg(F.array_sort(F.collect_set("item")).alias("names"))
     found = names.join(spans, (names.doc_id.eqNullSafe(spans.doc_id)) & (names.t1 == spans.t1) & (names.t2 == spans.t2)).select(names.doc_id.alias("f_id"), names.t1.alias("f1"), names.t2.alias("f2"), "names", "spans")
     counted = map_slices(docs, lambda r: {k: r[k] for k in by} | {"n_words": [len(words(x)) for x in r["text"]]}, "doc_id long, t1 long, t2 int, n_words long")
     joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")), "left")
