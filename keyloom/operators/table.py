@@ -328,10 +328,12 @@ class KeyedTable(MutableMapping):
                 self._require_local([key])
                 return (mine.ts, bytes(mine.value)) if mine else None
             g = group_of(key, self.groups, self.grouping)
-            theirs = self.committed([g]).where((F.col("gid") == g) & (F.col("key") == key)).first()
-            if theirs is None and self.index().where((F.col("gid") == g) & (F.col("key") == key)).first():
-                raise IntegrityError(f"{key!r} is in the index and not in its group")
-            if theirs and (mine is None or mine.ts == 0 or theirs.ts > mine.ts):
+            one = (F.col("gid") == g) & (F.col("key") == key)
+            entry = self.index().where(one).select("key", "length")
+            theirs = self.committed([g]).where(one).select("key", "ts", "value").join(entry, "key", "full").first()
+            if theirs and theirs.length is not None and (theirs.value is None or len(theirs.value) != theirs.length):
+                raise IntegrityError(f"{key!r} is in the index and not whole in its group")
+            if theirs and theirs.value is not None and (mine is None or mine.ts == 0 or theirs.ts > mine.ts):
                 return theirs.ts, bytes(theirs.value)
             return (mine.ts, bytes(mine.value)) if mine else None
 
@@ -822,7 +824,7 @@ class Changes:
         head = Head(state["uuid"], t.type, max(now_us(), t.head.ts + 1), commit, state["num_groups"], manifest, meta, meta_ts)
         t._lock.verify()
         t.store.write("HEAD.json", head.record())
-        log.info("committed %s", commit)
+        log.info("committed %s: %d bytes", commit, len(json.dumps(head.record())))
         replaced, old_head = state["replace"], t.head
         t.head = head
         rows = t._segments()

@@ -267,6 +267,28 @@ def test_replacement_forgets_pending_and_spares_foreign_files(spark, place, tmp_
     t.close()
 
 
+def test_reads_check_lengths(spark, place):
+    t = seeded(spark, place, None)
+    path = t.store.path(f"index/{t.head.commit}")
+    cut = spark.createDataFrame([(x.key, x.ts, x.gid, x.length + (x.key == "k2")) for x in t.index().collect()], "key string, ts long, gid int, length long")
+    cut.write.mode("overwrite").parquet(path)
+    t.prune(9 * 10**15)
+    assert t["k1"] == b"v1" and t.get("none") is None
+    with pytest.raises(IntegrityError):
+        t["k2"]
+    assert t.load_items() == {"k2": "in the index and not whole in its group"}
+    assert fsck(spark, place[0], check_rows=True).lost_keys == ["k2"]
+    t.close()
+
+
+def test_progress_is_logged(spark, place, caplog):
+    with caplog.at_level("INFO", logger="keyloom"):
+        t = seeded(spark, place, None)
+    told = [x.getMessage() for x in caplog.records]
+    assert told[0] == "push: 1 groups, 3 keys, 55 bytes" and told[1] == "group 0: 3 keys, 55 bytes" and told[2].startswith("written: 1 groups, 55 bytes in ") and told[3].startswith("committed g")
+    t.close()
+
+
 def test_closed_tables_do_nothing(spark, place):
     t = seeded(spark, place)
     t.close()
