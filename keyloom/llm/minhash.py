@@ -6,7 +6,7 @@ values make candidates; a pair of sets at similarity 0.8 shares no band with
 probability (1 - 0.8^5)^32 < 4e-6. Every link is confirmed on the full sets.
 
 Documents with the same set are one class from the start. The links to each
-bucket's hub (its smallest id) are tried first, which is linear. What a hub
+bucket's hub (its member that meets most others) are tried first, which is linear. What a hub
 leaves in another class is then compared on full sets with all that share a
 bucket with that hub, in blocks of bounded size inside the workers; only links
 become rows. So no link between different texts is lost, and no group is
@@ -203,14 +203,31 @@ def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _hubs(reps: DataFrame) -> DataFrame:
+    """hub, hub_n, rep, n: each set beside the hub of each bucket that it shares.
+
+    A bucket's hub is its member that meets most others over all its buckets (of
+    equals the smallest id): where texts are copies of one, that is the original,
+    which links with copies that don't link among themselves.
+    """
+    buckets = reps.select("rep", "n", F.explode("bands").alias("h"))
+    sizes = stored(buckets.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    kept = stored(buckets.join(sizes, "h"), "buckets")
+    meets = stored(kept.groupBy("rep").agg(F.sum("size").alias("meets")), "meets")
+    told = stored(kept.drop("size").join(meets, "rep"), "told")
+    best = told.groupBy("h").agg(F.max(F.struct("meets", (-F.col("rep")).alias("least"), "n")).alias("hub"))
+    hubs = stored(best.select("h", (-F.col("hub.least")).alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    out = stored(told.join(hubs, "h").select("hub", "hub_n", "rep", "n").distinct(), "shared")
+    forget(sizes, kept, meets, told, hubs)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     signed = stored(signatures(docs, words), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "reps")
-    buckets = reps.select("rep", "n", F.explode("bands").alias("h"))
-    hubs = stored(buckets.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("h", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    shared = stored(buckets.join(hubs, "h").select("hub", "hub_n", "rep", "n").distinct(), "buckets")
+    shared = _hubs(reps)
     ids = stored(reps.select("rep", "k1", "k2").join(bounded(stored(shared.select("rep").distinct(), "ids")), "rep", "left_semi"), "ids")
     sets = stored(_sets(docs, ids, words), "sets")
     stars = shared.where("rep <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -223,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2) -> DataF
     classes = reps.select("k1", "k2", "rep").join(comps, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     named = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     out = stored(signed.drop("bands").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), named).alias("component_id")), "classes")
-    forget(signed, reps, hubs, shared, ids, sets, edges, comps, more)
+    forget(signed, reps, shared, ids, sets, edges, comps, more)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
