@@ -68,7 +68,7 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield begin, len(sizes)
 
 
-def map_slices(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Applies step to bounded row ranges of df, given and returned as lists by column.
 
     step runs in the Python workers, on Arrow batches, whose bytes Spark bounds
@@ -79,7 +79,7 @@ def map_slices(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
-            for i, j in slices(sizes):
+            for i, j in slices(sizes, most):
                 out = step(batch.slice(i, j - i).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 

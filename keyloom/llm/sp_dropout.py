@@ -37,7 +37,9 @@ from .token_counts import default_path
 from .token_files import _ODD, _ODD_INVERSE, Pieces, _powers, _runs
 
 #: Segmentations that a worker remembers, their symbols, the symbols of the longest word remembered, and of the longest merged beside others.
-MEMO, MEMO_SYMBOLS, SHORT, BESIDE = 300_000, 8_000_000, 64, 256
+MEMO, MEMO_SYMBOLS, SHORT, BESIDE = 200_000, 5_000_000, 64, 256
+#: Text of one step, in UTF-8 bytes.
+STEP = 500_000
 _U64 = (1 << 64) - 1
 _MARK, _LITERAL = 0x2581, 0x110000
 _NONE = np.int32(1 << 30)
@@ -364,7 +366,7 @@ def segmented(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed:
         ids, n = segmenter(path, rate, seed).encode(rows["text"], rows["doc_id"])
         return {"doc_id": rows["doc_id"], "n_pieces": n, "ids": np.split(ids.astype(np.int32), np.cumsum(n)[:-1])}
 
-    return map_slices(docs.select("doc_id", "text"), step, "doc_id long, n_pieces long, ids array<int>")
+    return map_slices(docs.select("doc_id", "text"), step, "doc_id long, n_pieces long, ids array<int>", most=STEP)
 
 
 def digests(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 1) -> DataFrame:
@@ -377,4 +379,4 @@ def digests(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: i
         crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in np.split(ids, np.cumsum(n)[:-1])]
         return {"doc_id": rows["doc_id"], "n_pieces": n, "ids_crc32": crc, "lossless": same}
 
-    return map_slices(docs.select("doc_id", "text"), step, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    return map_slices(docs.select("doc_id", "text"), step, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean", most=STEP)
