@@ -35,7 +35,7 @@ BUFFER, SEGMENTS = 1000, 8
 #: Bytes of a file that a push writes, about; a larger group is spread over several.
 FILE_BYTES = 256 << 20
 #: What a local folder holds; nothing else in it is ever touched.
-_OWN = ("state.json", "rows", "index", "index.new")
+_OWN = ("state.json", "rows", "push", "index", "index.new")
 _TEMPORARY = re.compile(r"\.|state\.json\.[0-9a-f]{32}\.tmp$")
 #: The codecs of values; None takes and gives bytes.
 CODECS: dict[str | None, tuple[Callable, Callable]] = {
@@ -728,24 +728,25 @@ class Changes:
         if latest and latest.ts != t.head.ts and not t.state["replace"]:
             t._adopt(latest)
             t._save()
-        t._pushing = True
+        t._pushing, folder = True, f"push/{uuid.uuid4().hex}"
         try:
-            return self._push(force_push)
+            return self._push(force_push, folder)
         finally:
             t._pushing = False
+            t.local.delete(folder)
 
-    def _push(self, force: bool) -> PushResult:
+    def _push(self, force: bool, folder: str) -> PushResult:
         t, state = self.table, self.table.state
         began, segments = time.time(), list(state["segments"])
-        index, local, written, deletes = t.index(), t._local(), t._written(), t._deletes()
-        if lost := views.dropped_writes(written, local).count():
-            warnings.warn(f"{lost} pending writes have no value and are dropped", stacklevel=4)
-        late = local.join(written, "key", "left_semi").join(index.select("key", F.col("ts").alias("remote_ts")), "key").where("ts <= remote_ts")
-        if restamped := late.count():
-            warnings.warn(f"{restamped} pending writes are not newer than the committed rows and get a new time", stacklevel=4)
-        changed = views.changelog(local, index, written, now_us())
-        writes = local.drop("ts").join(changed.select("key", F.col("local_ts").alias("ts")), "key").select("key", "ts", "value")
-        sizes = {x.gid: (x.bytes, x.n) for x in views.packed_sizes(index, writes, deletes, t._gid()).collect()}
+        index = t.index()
+        # Found once, by one join with the index, and kept beside the local rows until the push has ended.
+        views.pending_changes(t._segments(), index, now_us(), t._gid()).write.parquet(t.local.path(folder))
+        pending = t.spark.read.schema("key string, op string, ts long, value binary, gid int, late boolean").parquet(t.local.path(folder))
+        writes, deletes = pending.where("op <> 'D'").select("key", "ts", "value", "gid"), pending.where("op = 'D'").select("key")
+        found = views.packed_sizes(index, pending).collect()
+        sizes = {x.gid: (x.bytes, x.n) for x in found}
+        if restamped := sum(x.late for x in found):
+            warnings.warn(f"{restamped} pending writes are not newer than the committed rows and get a new time", stacklevel=5)
         touched, first = sorted(sizes), not t.head.commit
         if not (touched or force or state["meta_pending"] or state["replace"] or first):
             return PushResult(False)
@@ -753,13 +754,12 @@ class Changes:
         gone = {} if t._replacing() else t._missing_objects(touched)
         if gone:
             kept = index.where(F.col("gid").isin(list(gone)))
-            warnings.warn(f"{views.without(views.without(kept, writes), deletes).count()} keys of {len(gone)} groups have lost their values and leave the index", stacklevel=4)
+            warnings.warn(f"{views.without(views.without(kept, writes), deletes).count()} keys of {len(gone)} groups have lost their values and leave the index", stacklevel=5)
         log.info("push: %d groups, %d keys, %d bytes", len(touched), sum(n for _, n in sizes.values()), sum(b for b, _ in sizes.values()))
 
         def rows_of(gids: list[int], every: bool) -> DataFrame:
             old = t.committed([g for g in gids if g not in gone]).select("key", "ts", "value", "gid")
-            new = writes.select("key", "ts", "value", t._gid().alias("gid"))
-            return views.without(views.without(old, writes), deletes).union(new if every else new.where(F.col("gid").isin(gids)))
+            return views.without(old, pending).union(writes if every else writes.where(F.col("gid").isin(gids)))
 
         live: dict[int, str] = {}
         made: list[str] = []
@@ -827,11 +827,11 @@ class Changes:
         log.info("committed %s: %d bytes", commit, len(json.dumps(head.record())))
         replaced, old_head = state["replace"], t.head
         t.head = head
-        rows = t._segments()
-        pending = rows.where(F.col("op").isin("W", "D") & t._gid().isin(list(failures)))
-        clean = writes.where(~t._gid().isin(list(failures))).select("key", F.lit("C").alias("op"), "ts", "value")
-        rest = views.without(views.without(rows.where("op = 'C'"), writes), deletes)
-        t._rewrite(clean.union(rest.select("key", "op", "ts", "value")).union(pending.select("key", "op", "ts", "value")))
+        names, rows = ["key", "op", "ts", "value"], t._segments()
+        left = rows.where(F.col("op").isin("W", "D") & t._gid().isin(list(failures))) if failures else None
+        clean = writes.where(~F.col("gid").isin(list(failures))).select("key", F.lit("C").alias("op"), "ts", "value")
+        kept = clean.union(views.without(rows.where("op = 'C'"), pending).select(names))
+        t._rewrite(kept.union(left.select(names)) if failures else kept)
         state |= {"head": head.record(), "ingest": head.ts, "replace": False, "meta_pending": False, "meta": meta, "meta_ts": meta_ts}
         t._save()
         self._collect_garbage(old_head, head, done, replaced)

@@ -132,14 +132,29 @@ def next_index(index: DataFrame, repacked: DataFrame, touched: DataFrame) -> Dat
     return index.join(F.broadcast(touched), "gid", "left_anti").select(new.columns).union(new)
 
 
-def packed_sizes(index: DataFrame, writes: DataFrame, deletes: DataFrame, groups: Column) -> DataFrame:
-    """gid, packed bytes and members of the groups that a push touches, as they will be; of committed values only the lengths are read."""
-    new = writes.select("key", F.octet_length("value").cast("long").alias("length"))
-    old = without(without(index.select("key", "length"), writes), deletes)
-    every = old.union(new).select(groups.alias("gid"), (F.lit(13) + F.octet_length("key") + F.col("length")).alias("size"))
-    touched = writes.select("key").union(deletes.select("key")).select(groups.alias("gid")).distinct()
-    sizes = every.groupBy("gid").agg((F.sum("size") + 4).alias("bytes"), F.count("*").alias("n"))
-    return touched.join(sizes, "gid", "left").select("gid", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("n", F.lit(0)).alias("n"))
+def pending_changes(segments: DataFrame, index: DataFrame, now: int, group: Column) -> DataFrame:
+    """key, op, ts, value, gid, late of the local records that a push applies: as changelog() has it, with deletes, in one join.
+
+    late: the write was not newer than the committed row and has got a new time.
+    """
+    both = segments.join(index.select("key", F.col("ts").alias("remote_ts")), "key", "left")
+    written = F.col("op") == "W"
+    newer = F.col("remote_ts").isNull() | (F.col("ts") > F.col("remote_ts"))
+    late = written & F.coalesce(F.col("ts") <= F.col("remote_ts"), F.lit(False))
+    ts = F.when(late, F.greatest(F.lit(now), F.col("remote_ts") + 1)).otherwise(F.col("ts"))
+    due = written | (F.col("op") == "D") | ((F.col("op") == "C") & newer)
+    return both.where(due).select("key", "op", ts.cast("long").alias("ts"), "value", group.alias("gid"), late.alias("late"))
+
+
+def packed_sizes(index: DataFrame, pending: DataFrame) -> DataFrame:
+    """gid, packed bytes, members and late writes of the groups that a push touches, as they will be; of committed rows only the lengths are read."""
+    late = F.sum(F.col("late").cast("long")).alias("late")
+    changed = pending.select("key", "gid", F.when(F.col("op") != "D", F.octet_length("value").cast("long")).alias("length"))
+    touched = pending.groupBy("gid").agg(late)
+    old = without(index.select("key", "gid", "length"), changed).join(touched, "gid", "left_semi")
+    every = old.unionByName(changed.where("length is not null"))
+    sizes = every.groupBy("gid").agg((F.sum(F.lit(13) + F.octet_length("key") + F.col("length")) + 4).alias("bytes"), F.count("*").alias("n"))
+    return touched.join(sizes, "gid", "left").select("gid", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("n", F.lit(0)).alias("n"), "late")
 
 
 def lost_keys(index: DataFrame, committed: DataFrame) -> DataFrame:
