@@ -23,8 +23,8 @@ SLICE_BYTES = 1_000_000
 MEMO_MAX = 200_000
 #: Rows that small_batches() puts in a batch.
 BATCH_ROWS = 2000
-#: Rows of a decision table that may be broadcast (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a table of numbers that may be broadcast, at 8 for each value; beyond it the join shuffles.
+BROADCAST_BYTES = 16_000_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -191,8 +191,9 @@ def _sweep() -> None:
             files.delete(at, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted, on a stored frame); else as it is."""
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (counted, on a stored frame; by default BROADCAST_BYTES of numbers); else as it is."""
+    rows = BROADCAST_BYTES // (8 * len(df.columns)) if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

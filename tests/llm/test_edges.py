@@ -1,11 +1,14 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import functools
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontam, html_extract, minhash, quality, rules, secrets, sharding, sp_dropout, token_counts, token_files
 
+fitted = functools.cache(secrets.train)
 CLASH = "component_id kept n_shingles bands rep items a b h hub expected_grade grade f quality n_tokens ids_crc32 start payload local_start size text_crc32 law slot part rank _row n_pieces ids lossless rule end score secret n_words classes common usual_classes without none n_hit n_items starts item t1 t2 row g n_bytes over_limit base salt blocks".split()
 
 
@@ -25,8 +28,8 @@ def operators(bench):
         "sharded": sharding.sharded,
         "segmented": sp_dropout.segmented,
         "digests": sp_dropout.digests,
-        "findings": secrets.findings,
-        "redacted": secrets.redacted,
+        "findings": lambda d: secrets.findings(d, fitted()),
+        "redacted": lambda d: secrets.redacted(d, fitted()),
         "judged": rules.judged,
         "contamination": lambda d: decontam.contamination(d, bench),
         "contamination by shuffle": lambda d: decontam.contamination(d, bench, index_bytes=0),
@@ -94,7 +97,7 @@ def test_pipeline_keeps_clean_documents(spark):
     hit = {x.doc_id for x in decontam.contamination(now, bench).where("n_items > 0").collect()}
     assert {x.doc_id for x in now.collect()} - {x.doc_id for x in clean.collect()} == hit
     safe = {x.doc_id: x.text for x in corpus_pipeline.secret_scan(spark, clean, data).collect()}
-    found = {x.doc_id for x in secrets.findings(clean).where("secret").collect()}
+    found = {x.doc_id for x in secrets.findings(clean, fitted()).where("secret").collect()}
     assert {x.doc_id for x in clean.collect() if x.text != safe[x.doc_id]} == found
     ids = {x.doc_id: x.ids for x in corpus_pipeline.sentencepiece_encoding(spark, clean, data).collect()}
     assert set(ids) == set(safe)

@@ -1,5 +1,6 @@
 """Extraction, tokens, secrets, rules and the classifier: brute force, round trips and held-out accuracy."""
 
+import functools
 import re
 import zlib
 
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 
 from keyloom.llm import common, html_extract, quality, rules, secrets, sp_dropout, token_counts, token_files
 
+fitted = functools.cache(secrets.train)
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -275,7 +277,7 @@ def test_merge_dropout_rows(spark, docs, odd):
 
 
 def test_secrets(spark, docs, odd):
-    forest = secrets.train()
+    forest = fitted()
     held = secrets.labelled_findings(1500, seed=77)
     score = forest.scores([x for x, _ in held])
     assert ((score >= 0.5) == np.array([y for _, y in held])).mean() > 0.97
@@ -291,7 +293,7 @@ def test_secrets(spark, docs, odd):
 def test_secret_ends():
     import random
 
-    forest = secrets.train()
+    forest = fitted()
     rng = random.Random(8)
     pick = lambda k: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=k))
     cut = lambda t: "".join(t[a:b] for a, b in zip([0, *(x.end for x in got(t))], [*(x.start for x in got(t)), len(t)], strict=True))
@@ -325,7 +327,7 @@ def test_secret_ends():
 def test_private_key_ends():
     import random
 
-    forest, rng = secrets.train(), random.Random(9)
+    forest, rng = fitted(), random.Random(9)
     body = "\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=64)) for _ in range(12)) + "\nQ9w="
     head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
 
@@ -348,7 +350,7 @@ def test_private_key_ends():
 def test_secrets_hostile(text):
     import time
 
-    judge, began = secrets.train(), time.process_time()
+    judge, began = fitted(), time.process_time()
     secrets._judged([text], judge, 0.5)
     assert time.process_time() - began < 20
 
@@ -394,13 +396,13 @@ def test_forest_rejects_what_rules_pass(spark, docs):
     import random
 
     made = other_findings(random.Random(4))
-    rows = secrets.findings(docs([t for t, _ in made])).collect()
+    rows = secrets.findings(docs([t for t, _ in made]), fitted()).collect()
     by_rules, by_forest = {x.doc_id for x in rows}, {x.doc_id for x in rows if x.secret}
     true = {i for i, (_, label) in enumerate(made) if label}
     precision, recall = (lambda got: len(got & true) / len(got)), (lambda got: len(got & true) / len(true))
     assert recall(by_rules) > 0.99 and precision(by_rules) < 0.55
     assert recall(by_forest) > 0.97 and precision(by_forest) > 0.9
-    clean = secrets.redacted(docs([t for t, _ in made])).collect()
+    clean = secrets.redacted(docs([t for t, _ in made]), fitted()).collect()
     assert all(x.text == made[x.doc_id][0] for x in clean if x.doc_id not in by_forest)
 
 
