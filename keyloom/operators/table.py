@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 import logging
 import math
+import operator
 import os
 import pickle
 import re
@@ -44,6 +46,8 @@ CODECS: dict[str | None, tuple[Callable, Callable]] = {
     "json": (lambda x: json.dumps(x).encode(), lambda x: json.loads(bytes(x))),
     "pickle": (pickle.dumps, lambda x: pickle.loads(bytes(x))),
 }
+#: Keys are all different: a dictionary of them would be built in vain.
+_PLAIN_KEYS = {"parquet.enable.dictionary#key": "false"}
 _MISSING = ("FILE_NOT_EXIST", "PATH_NOT_FOUND", "FileNotFoundException", "does not exist")
 
 
@@ -198,6 +202,10 @@ class KeyedTable(MutableMapping):
 
     # Frames
 
+    def _none(self, schema: str) -> DataFrame:
+        """No rows, in a form that the optimizer knows to be empty, so that joins with it go."""
+        return self.spark.createDataFrame([], schema).limit(0)
+
     def _segments(self) -> DataFrame:
         """The last local record of each key: W pending write, D pending delete, C clean copy, X nothing."""
         if not self._open:
@@ -205,12 +213,21 @@ class KeyedTable(MutableMapping):
         self._flush()
         paths = [self.local.path(x) for x in self.state["segments"]]
         if not paths:
-            return self.spark.createDataFrame([], LOCAL)
+            return self._none(LOCAL)
         rows = self.spark.read.schema(LOCAL).parquet(*paths)
         if len(paths) > 1:
             rows = rows.groupBy("key").agg(F.max_by(F.struct("op", "ts", "value", "seq"), "seq").alias("r")).select("key", "r.*")
         return rows.where("op <> 'X'")
 
+    def _ops(self) -> DataFrame:
+        """key and op of _segments(), without reading times and values; the greatest number of a key is that of its last record."""
+        if len(self.state["segments"]) + bool(self._buffer) < 2:
+            return self._segments().select("key", "op")
+        self._flush()
+        rows = self.spark.read.schema(LOCAL).parquet(*(self.local.path(x) for x in self.state["segments"]))
+        last = rows.groupBy("key").agg(F.max(F.col("seq") * 4 + F.instr(F.lit("WDC"), F.col("op"))).alias("n"))
+        return last.where("n % 4 > 0").select("key", F.substring(F.lit("WDC"), (F.col("n") % 4).cast("int"), F.lit(1)).alias("op"))
+
     def _local(self) -> DataFrame:
         return self._segments().where("op in ('W', 'C')").select("key", "ts", "value")
 
@@ -226,16 +243,16 @@ class KeyedTable(MutableMapping):
     def index(self) -> DataFrame:
         """key, ts, gid, length of the committed rows; empty where they are to be replaced."""
         if self._replacing():
-            return self.spark.createDataFrame([], INDEX)
+            return self._none(INDEX)
         return self.spark.read.schema(INDEX).parquet(self.store.path(f"index/{self.head.commit}"))
 
     def committed(self, gids: Iterable[int] | None = None) -> DataFrame:
         """key, ts, value, gen, gid of the live generations, read by partition."""
         if self._replacing() or not self.head.manifest:
-            return self.spark.createDataFrame([], GROUP)
+            return self._none(GROUP)
         wanted = self.head.manifest if gids is None else {g: self.head.manifest[g] for g in gids if g in self.head.manifest}
         if not wanted:
-            return self.spark.createDataFrame([], GROUP)
+            return self._none(GROUP)
         paths = [self.store.path(f"groups/gen={gen}/gid={g}") for g, gen in wanted.items()]
         return self.spark.read.schema(GROUP).option("basePath", self.store.path("groups")).parquet(*paths)
 
@@ -271,7 +288,7 @@ class KeyedTable(MutableMapping):
         if not self.offline:
             return self.index()
         if not self.local.exists("index"):
-            return self.spark.createDataFrame([], INDEX)
+            return self._none(INDEX)
         return self.spark.read.schema(INDEX).parquet(self.local.path("index"))
 
     def _healed(self, action: Callable[[], Any]) -> Any:
@@ -407,22 +424,37 @@ class KeyedTable(MutableMapping):
             return {}
         wanted = None if keys is None else list(keys)
 
+        def due() -> DataFrame:
+            rows = views.due_rows(self._segments(), self.index())
+            return rows if wanted is None else rows.join(self.spark.createDataFrame([(k,) for k in wanted], "key string"), "key", "left_semi")
+
+        def told(rows: DataFrame) -> tuple[int, int]:
+            """Number of rows, and the keys' hashes taken together."""
+            return tuple(rows.select(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(key))"), F.lit(0))).first())
+
         def load() -> dict[str, MissingObject | str]:
-            due = views.fetch_keys(self._local(), self.index(), self._written(), self._deletes())
-            if wanted is not None:
-                due = due.join(self.spark.createDataFrame([(k,) for k in wanted], "key string"), "key", "left_semi")
-            gids = [x.gid for x in due.select("gid").distinct().collect()]
+            asked = due()
+            found = asked.groupBy("gid").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("keys")).collect()
+            gids = [x.gid for x in found]
             gone = self._missing_objects(gids)
-            found = due.where(~F.col("gid").isin(list(gone))).join(self.index().select("key", "length"), "key").join(self.committed([g for g in gids if g not in gone]).select("key", "ts", "value"), "key", "left")
-            whole = F.coalesce(F.octet_length("value") == F.col("length"), F.lit(False))
-            self._append(found.where(whole).select("key", "ts", "value"), "C")
+            there = [x for x in found if x.gid not in gone]
+            rows = asked.where(~F.col("gid").isin(list(gone))) if gone else asked
+            rows = rows.select("key", "length").join(self.committed([x.gid for x in there]).select("key", "ts", "value"), "key")
+            rows = rows.where(F.octet_length("value") == F.col("length")).select("key", "ts", "value")
+            whole = self._append(rows, "C", lambda path: told(self.spark.read.schema(LOCAL).parquet(path)))
             failed: dict[str, MissingObject | str] = {}
+            if not gone and whole == (sum(x.n for x in there), functools.reduce(operator.xor, (x.keys for x in there), 0)):
+                return failed
             lost: dict[int, list[str]] = {}
-            for x in due.where(F.col("gid").isin(list(gone))).collect() if gone else ():
-                lost.setdefault(x.gid, []).append(x.key)
+            # What is due still.
+            for x in due().select("key", "gid").collect():
+                if x.gid in gone:
+                    lost.setdefault(x.gid, []).append(x.key)
+                else:
+                    failed[x.key] = "in the index and not whole in its group"
             for g, names in lost.items():
                 failed |= dict.fromkeys(names, MissingObject(gone[g], tuple(sorted(names))))
-            return failed | {x.key: "in the index and not whole in its group" for x in due.join(self._local(), "key", "left_anti").where(~F.col("gid").isin(list(gone))).collect()}
+            return failed
 
         failed = self._healed(load)
         if failed:
@@ -474,9 +506,14 @@ class KeyedTable(MutableMapping):
         ts = F.col("ts").cast("long") if "ts" in rows.columns else F.lit(now_us())
         rows = rows.select("key", ts.alias("ts"), F.col("value").cast("binary").alias("value"))
         bad = F.col("key").isNull() | F.col("key").startswith(RESERVED) | F.col("value").isNull() | F.col("ts").isNull() | (F.col("ts") <= 0)
-        if rows.where(bad).limit(1).count():
-            raise ValueError("keys, values and times must not be null, keys not reserved, and times positive")
-        self._append(rows.groupBy("key").agg(F.max(F.struct("ts", "value")).alias("r")).select("key", "r.ts", "r.value"), "W")
+
+        def check(path: str) -> None:
+            if self.spark.read.schema("bad boolean").parquet(path).where("bad").limit(1).count():
+                raise ValueError("keys, values and times must not be null, keys not reserved, and times positive")
+
+        # Checked in what is written, so that the frame is computed once.
+        last = rows.withColumn("bad", bad).groupBy("key").agg(F.max(F.struct("ts", "value")).alias("r"), F.max("bad").alias("bad"))
+        self._append(last.select("key", "r.ts", "r.value", "bad"), "W", check)
 
     def __delitem__(self, key: str) -> None:
         self._check(key)
@@ -492,11 +529,9 @@ class KeyedTable(MutableMapping):
         self._check()
         if dict(rows.dtypes).get("key") != "string":
             raise TypeError("a frame of key string")
-        there = rows.select("key").distinct().join(self.key_frame(), "key", "left_semi")
-        known = self.index().select("key", F.lit(True).alias("known"))
-        marked = there.join(known, "key", "left").select("key", F.when(F.col("known"), "D").otherwise("X").alias("op"), F.lit(now_us()).alias("ts"), F.lit(b"").alias("value"))
+        there = views.removable(rows.select("key").distinct(), self._ops(), self.index())
         self._flush()
-        self._segment(marked)
+        self._segment(there.select("key", F.when(F.col("known"), "D").otherwise("X").alias("op"), F.lit(now_us()).alias("ts"), F.lit(b"").alias("value")))
 
     def set_timestamp(self, key: str, timestamp: int | str | dt.datetime) -> None:
         self._check(key)
@@ -543,25 +578,32 @@ class KeyedTable(MutableMapping):
             rows = [(k, op, ts, bytearray(v)) for k, (op, ts, v) in held.items()]
             self._segment(self.spark.createDataFrame(rows, "key string, op string, ts long, value binary").coalesce(1))
 
-    def _append(self, rows: DataFrame, op: str) -> None:
+    def _append(self, rows: DataFrame, op: str, check: Callable[[str], Any] | None = None) -> Any:
         self._flush()
-        self._segment(rows.select("key", F.lit(op).alias("op"), "ts", "value"))
+        return self._segment(rows.withColumn("op", F.lit(op)), check)
 
-    def _segment(self, rows: DataFrame) -> None:
+    def _segment(self, rows: DataFrame, check: Callable[[str], Any] | None = None) -> Any:
+        """Writes a segment; check(path) is run before it counts, and if it fails the segment goes."""
         seq = self.state["seq"] + 1
         name = f"rows/{seq}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn("seq", F.lit(seq).cast("long")).write.parquet(self.local.path(name))
+        rows.withColumn("seq", F.lit(seq).cast("long")).write.options(**_PLAIN_KEYS).parquet(self.local.path(name))
+        try:
+            told = check(self.local.path(name)) if check else None
+        except BaseException:
+            self.local.delete(name)
+            raise
         self.state |= {"seq": seq, "segments": [*self.state["segments"], name]}
         self._save()
         if len(self.state["segments"]) > SEGMENTS and not self._pushing:
             self._rewrite(self._segments().select("key", "op", "ts", "value"))
+        return told
 
     def _rewrite(self, rows: DataFrame) -> None:
         """Replaces all segments by one."""
         old = self.state["segments"]
         seq = self.state["seq"] + 1
         name = f"rows/{seq}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn("seq", F.lit(seq).cast("long")).write.parquet(self.local.path(name))
+        rows.withColumn("seq", F.lit(seq).cast("long")).write.options(**_PLAIN_KEYS).parquet(self.local.path(name))
         self.state |= {"seq": seq, "segments": [name]}
         self._save()
         for x in old:
@@ -597,13 +639,12 @@ class KeyedTable(MutableMapping):
             if head.meta_ts > self.state["meta_ts"] and not self.state["meta_pending"]:
                 self.state |= {"meta": head.meta, "meta_ts": head.meta_ts}
             if before is not None and self.state["segments"]:
-                rows = self._segments()
-                gone = views.reconcile(rows.where("op = 'C'").select("key", "ts"), self.index(), rows.where("op in ('W', 'D')"), before)
-                n, held = gone.count(), rows.where("op = 'C'").count()
+                marked = views.reconciled(self._segments(), self.index(), before)
+                n, held = marked.select(F.count_if("gone"), F.count_if(F.col("op") == "C")).first()
                 if n:
                     if 4 * n > held:
                         warnings.warn(f"{n} of {held} local rows were deleted by another writer", stacklevel=2)
-                    self._rewrite(views.without(rows, gone).select("key", "op", "ts", "value"))
+                    self._rewrite(marked.where(~F.col("gone")).select("key", "op", "ts", "value"))
         self.state |= {"head": head.record(), "ingest": head.ts}
 
     def map(self, func: Callable[[str, Any], tuple[str, Any] | None], keys: Iterable[str] | None = None) -> DataFrame:
@@ -739,9 +780,10 @@ class Changes:
         t, state = self.table, self.table.state
         began, segments = time.time(), list(state["segments"])
         index = t.index()
-        # Found once, by one join with the index, and kept beside the local rows until the push has ended.
-        views.pending_changes(t._segments(), index, now_us(), t._gid()).write.parquet(t.local.path(folder))
-        pending = t.spark.read.schema("key string, op string, ts long, value binary, gid int, late boolean").parquet(t.local.path(folder))
+        # Found once, by one join with the index, and kept beside the local rows, with those that stay as they are, until the push has ended.
+        views.local_changes(t._segments(), index, now_us(), t._gid()).write.options(**_PLAIN_KEYS).partitionBy("due").parquet(t.local.path(folder))
+        known = t.spark.read.schema("key string, op string, ts long, value binary, gid int, late boolean, was long, due boolean").parquet(t.local.path(folder))
+        pending, as_they_are = known.where("due").drop("due"), known.where("not due")
         writes, deletes = pending.where("op <> 'D'").select("key", "ts", "value", "gid"), pending.where("op = 'D'").select("key")
         found = views.packed_sizes(index, pending).collect()
         sizes = {x.gid: (x.bytes, x.n) for x in found}
@@ -770,7 +812,7 @@ class Changes:
             splits = max(1, math.ceil(sum(sizes[g][0] for g in gids) / len(gids) / FILE_BYTES))
             try:
                 rows = rows_of(gids, len(gids) == len(touched)).repartition("gid", F.pmod(F.xxhash64("key"), F.lit(splits)))
-                rows.sortWithinPartitions("gid", "key").write.partitionBy("gid").parquet(t.store.path(f"groups/gen={gen}"))
+                rows.sortWithinPartitions("gid", "key").write.options(**_PLAIN_KEYS).partitionBy("gid").parquet(t.store.path(f"groups/gen={gen}"))
             except Exception as e:
                 t.store.delete(f"groups/gen={gen}")
                 if len(gids) == 1:
@@ -806,10 +848,11 @@ class Changes:
         try:
             paths = [t.store.path(f"groups/gen={gen}/gid={g}") for g, gen in live.items()]
             row = "key string, ts long, value binary, gen string, gid int"
-            fresh = t.spark.read.schema(row).option("basePath", t.store.path("groups")).parquet(*paths) if paths else t.spark.createDataFrame([], row)
+            fresh = t.spark.read.schema(row).option("basePath", t.store.path("groups")).parquet(*paths) if paths else t._none(row)
             new_index = views.next_index(index, fresh, t.spark.createDataFrame([(g,) for g in done], "gid int"))
-            splits = max(1, math.ceil(sum(n for _, n in sizes.values()) / max(1, len(sizes)) * 64 / FILE_BYTES))
-            new_index.repartition("gid", F.pmod(F.xxhash64("key"), F.lit(splits))).sortWithinPartitions("gid", "key").write.parquet(t.store.path(f"index/{commit}"))
+            # The groups' files hold whole groups in order of keys, or large parts of them, so the entries need no shuffle.
+            most = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+            new_index.coalesce(most).sortWithinPartitions("gid", "key").write.options(**_PLAIN_KEYS).parquet(t.store.path(f"index/{commit}"))
         except Exception as e:
             undo()
             return PushResult(False, dict.fromkeys(touched, f"{type(e).__name__}: {str(e)[:300]}"))
@@ -827,11 +870,12 @@ class Changes:
         log.info("committed %s: %d bytes", commit, len(json.dumps(head.record())))
         replaced, old_head = state["replace"], t.head
         t.head = head
-        names, rows = ["key", "op", "ts", "value"], t._segments()
-        left = rows.where(F.col("op").isin("W", "D") & t._gid().isin(list(failures))) if failures else None
-        clean = writes.where(~F.col("gid").isin(list(failures))).select("key", F.lit("C").alias("op"), "ts", "value")
-        kept = clean.union(views.without(rows.where("op = 'C'"), pending).select(names))
-        t._rewrite(kept.union(left.select(names)) if failures else kept)
+        names = ["key", "op", "ts", "value"]
+        clean = writes.where(~F.col("gid").isin(list(failures))) if failures else writes
+        kept = clean.select("key", F.lit("C").alias("op"), "ts", "value").union(as_they_are.select(names))
+        if failures:
+            kept = kept.union(t._segments().where(F.col("op").isin("W", "D") & t._gid().isin(list(failures))).select(names))
+        t._rewrite(kept)
         state |= {"head": head.record(), "ingest": head.ts, "replace": False, "meta_pending": False, "meta": meta, "meta_ts": meta_ts}
         t._save()
         self._collect_garbage(old_head, head, done, replaced)

@@ -65,6 +65,20 @@ def fetch_plan(local: DataFrame, index: DataFrame, written: DataFrame, deletes:
     return fetch_keys(local, keyed, written, deletes).groupBy("gid").agg(F.count("*").alias("n_keys"))
 
 
+def due_rows(segments: DataFrame, index: DataFrame) -> DataFrame:
+    """fetch_keys() with the index's length, of local records, one for each key."""
+    both = index.select("key", "ts", "gid", "length").join(segments.select("key", "op", F.col("ts").alias("local_ts")), "key", "left")
+    due = F.col("op").isNull() | ((F.col("op") == "C") & stale(F.col("local_ts"), F.col("ts")))
+    return both.where(F.col("ts").isNotNull() & due).select("key", "gid", "length")
+
+
+def removable(asked: DataFrame, ops: DataFrame, index: DataFrame) -> DataFrame:
+    """key and known (committed, or null) of the keys asked for that are live; ops: key and op of the local records."""
+    known = index.select("key", F.lit(True).alias("known"))
+    both = asked.join(known, "key", "left").join(ops, "key", "left")
+    return both.where(F.col("op").isin("W", "C") | (F.col("op").isNull() & F.col("known"))).select("key", "known")
+
+
 def own_rows(local: DataFrame, index: DataFrame, written: DataFrame, deletes: DataFrame) -> DataFrame:
     """The local rows that hold: pending writes, and copies that are not staler than the committed row."""
     mine = local.join(written.select("key", F.lit(True).alias("w")), "key", "left")
@@ -132,29 +146,37 @@ def next_index(index: DataFrame, repacked: DataFrame, touched: DataFrame) -> Dat
     return index.join(F.broadcast(touched), "gid", "left_anti").select(new.columns).union(new)
 
 
-def pending_changes(segments: DataFrame, index: DataFrame, now: int, group: Column) -> DataFrame:
-    """key, op, ts, value, gid, late of the local records that a push applies: as changelog() has it, with deletes, in one join.
+def local_changes(segments: DataFrame, index: DataFrame, now: int, group: Column) -> DataFrame:
+    """key, op, ts, value, gid, late, was, due of all local records, found by one join.
 
-    late: the write was not newer than the committed row and has got a new time.
+    due: a push applies the record, as changelog() has it, with deletes. late: the
+    write was not newer than the committed row and has got a new time. was: length
+    of the committed value, null without one.
     """
-    both = segments.join(index.select("key", F.col("ts").alias("remote_ts")), "key", "left")
+    both = segments.join(index.select("key", F.col("ts").alias("remote_ts"), F.col("length").alias("was")), "key", "left")
     written = F.col("op") == "W"
     newer = F.col("remote_ts").isNull() | (F.col("ts") > F.col("remote_ts"))
     late = written & F.coalesce(F.col("ts") <= F.col("remote_ts"), F.lit(False))
     ts = F.when(late, F.greatest(F.lit(now), F.col("remote_ts") + 1)).otherwise(F.col("ts"))
     due = written | (F.col("op") == "D") | ((F.col("op") == "C") & newer)
-    return both.where(due).select("key", "op", ts.cast("long").alias("ts"), "value", group.alias("gid"), late.alias("late"))
+    return both.select("key", "op", ts.cast("long").alias("ts"), "value", group.alias("gid"), late.alias("late"), "was", F.coalesce(due, F.lit(False)).alias("due"))
 
 
 def packed_sizes(index: DataFrame, pending: DataFrame) -> DataFrame:
-    """gid, packed bytes, members and late writes of the groups that a push touches, as they will be; of committed rows only the lengths are read."""
-    late = F.sum(F.col("late").cast("long")).alias("late")
-    changed = pending.select("key", "gid", F.when(F.col("op") != "D", F.octet_length("value").cast("long")).alias("length"))
-    touched = pending.groupBy("gid").agg(late)
-    old = without(index.select("key", "gid", "length"), changed).join(touched, "gid", "left_semi")
-    every = old.unionByName(changed.where("length is not null"))
-    sizes = every.groupBy("gid").agg((F.sum(F.lit(13) + F.octet_length("key") + F.col("length")) + 4).alias("bytes"), F.count("*").alias("n"))
-    return touched.join(sizes, "gid", "left").select("gid", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("n", F.lit(0)).alias("n"), "late")
+    """gid, packed bytes, members and late writes of the groups that a push touches, as they will be.
+
+    What the index holds of a group, without what the changes replace (was), and with
+    what they write; of committed rows only the lengths are read, and nothing is joined
+    but sums of groups.
+    """
+    size = lambda length: F.lit(13) + F.octet_length("key") + length
+    new = F.when(F.col("op") != "D", size(F.octet_length("value").cast("long")))
+    old = F.when(F.col("was").isNotNull(), size(F.col("was")))
+    changes = pending.groupBy("gid").agg(F.sum(F.col("late").cast("long")).alias("late"), F.sum(new).alias("more"), F.count(new).alias("n_more"), F.sum(old).alias("less"), F.count(old).alias("n_less"))
+    held = index.groupBy("gid").agg(F.sum(size(F.col("length"))).alias("held"), F.count("*").alias("n_held"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    n = none("n_held") - F.col("n_less") + F.col("n_more")
+    return changes.join(held, "gid", "left").select("gid", F.when(n > 0, none("held") - none("less") + none("more") + 4).otherwise(0).alias("bytes"), n.alias("n"), "late")
 
 
 def lost_keys(index: DataFrame, committed: DataFrame) -> DataFrame:
@@ -168,6 +190,13 @@ def reconcile(local: DataFrame, index: DataFrame, pending: DataFrame, before: in
     return gone.where(F.lit(False) if before is None else F.col("ts") <= before).select("key")
 
 
+def reconciled(segments: DataFrame, index: DataFrame, before: int) -> DataFrame:
+    """Local records, one for each key, with gone: whether reconcile() names the key."""
+    there = index.select("key", F.lit(True).alias("there"))
+    gone = (F.col("op") == "C") & F.col("there").isNull() & (F.col("ts") <= before)
+    return segments.join(there, "key", "left").select(*segments.columns, F.coalesce(gone, F.lit(False)).alias("gone"))
+
+
 def pruned(local: DataFrame, written: DataFrame, before: int) -> DataFrame:
     """What a prune keeps: rows from the time on, and pending writes."""
     flagged = local.join(written.select("key", F.lit(True).alias("w")), "key", "left")

@@ -23,6 +23,8 @@ from ..sources.session import Session
 from .queries import BEFORE, GROUPS, Sides
 
 LATER = 1000
+#: Most bytes of a shuffled partition that is joined by hash.
+HASHED = "16m"
 
 
 class _Case:
@@ -36,6 +38,8 @@ class _Case:
             shared = tempfile.mkdtemp(prefix="tables-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
             shared = f"file://{shared}"
+        # Joins whose partitions are all small hash one side instead of sorting both; larger ones are sorted, as ever.
+        spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASHED)
         self.spark, self.sf_dir, self.place = spark, sf_dir, f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
         sides = Sides(spark, sf_dir)
         self.rows = sides.committed

@@ -554,3 +554,47 @@ def test_plans(spark, place, monkeypatch):
     assert len(t.committed([3]).inputFiles()) == 1 and len(t.committed().inputFiles()) == 5
     assert "PartitionFilters: [isnotnull(gid" in text(t.committed().where("gid = 3"))
     t.close()
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_upsert_computes_its_frame_once(spark, place):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    t = open_table(spark, place[0], place[1]("a"), "n")
+    t.upsert(spark.range(20).selectExpr("cast(id as string) key", "'v' value").mapInArrow(count, "key string, value string"))
+    assert seen.value == 20 and len(t) == 20
+    for bad in ("if(id = 3, null, 'v')", "if(id = 3, cast(null as string), 'v')"):
+        with pytest.raises(ValueError):
+            # Of the repeated key the row that is in order is the greater one.
+            t.upsert(spark.range(6).selectExpr("cast(id % 3 as string) key", f"{bad} value"))
+    assert len(t) == 20 and len(t.local.list("rows")) == 1
+    t.close()
+
+
+def test_nothing_committed_is_not_joined(spark, place):
+    t = open_table(spark, place[0], place[1]("a"), "n")
+    t.upsert(spark.range(5).selectExpr("cast(id as string) key", "'v' value"))
+    assert "Join" not in _optimized(t.to_df()) and t.to_df().count() == 5
+    t.close()
+
+
+def test_load_items_tells_what_stays_stale(spark, place):
+    t = seeded(spark, place, None)
+    r = open_table(spark, place[0], place[1]("r"))
+    assert r.load_items() == {}
+    t["k2"] = b"newer"
+    assert t.changes().push()
+    path = t.store.path(f"index/{t.head.commit}")
+    cut = spark.createDataFrame([(x.key, x.ts, x.gid, x.length + (x.key == "k2")) for x in t.index().collect()], "key string, ts long, gid int, length long")
+    cut.write.mode("overwrite").parquet(path)
+    r.pull()
+    assert r.load_items() == {"k2": "in the index and not whole in its group"}
+    t.close()
