@@ -598,3 +598,34 @@ def test_load_items_tells_what_stays_stale(spark, place):
     r.pull()
     assert r.load_items() == {"k2": "in the index and not whole in its group"}
     t.close()
+
+
+def test_sizes_of_a_push_are_those_of_its_groups(spark, place):
+    from keyloom.operators import views
+
+    t = seeded(spark, place, 5, 30)
+    t.update({"k1": b"longer", "k31": b"n"})
+    t.remove(spark.createDataFrame([("k2",), ("k3",), ("none",)], "key string"))
+    changes = views.local_changes(t._segments(), t.index(), 1, t._gid())
+    told = {x.gid: (x.bytes, x.n) for x in views.packed_sizes(t.index(), changes.where("due")).collect()}
+    assert t.changes().push()
+    held = {x.gid: (x.bytes, x.n) for x in views.group_sizes(t.committed().select("key", "value"), 5).collect()}
+    assert told and told == {g: held.get(g, (0, 0)) for g in told}
+    t.clear()
+    changes = views.local_changes(t._segments(), t.index(), 1, t._gid())
+    assert {(x.bytes, x.n) for x in views.packed_sizes(t.index(), changes.where("due")).collect()} == {(0, 0)}
+    t.close()
+
+
+def test_ops_are_those_of_the_last_records(spark, place):
+    t = seeded(spark, place, 5)
+    t["k1"] = b"w"
+    t["k4"] = b"w"
+    t.sync()
+    t.remove(spark.createDataFrame([("k1",), ("k2",), ("k4",)], "key string"))
+    t["k2"] = b"again"
+    assert len(t.state["segments"]) > 1
+    want = {"k1": "D", "k2": "W", "k3": "C"}
+    assert {x.key: x.op for x in t._ops().collect()} == want == {x.key: x.op for x in t._segments().collect()}
+    assert "SortAggregate" not in t._ops()._jdf.queryExecution().executedPlan().toString(), "numbers are aggregated by hash"
+    t.close()
